@@ -10,10 +10,14 @@ same shingle set form one class, and only classes are compared:
    listed. A passage that many documents share is in the lists only of documents
    that it dominates.
 2. Overlaps. The member of least hash of each list is compared with the others,
-   not all with all. Lists whose members are linked by now are done; in the
-   others the hubs leave and, round after round, more members are hubs, until
-   each list is one component or all its members were compared. No link between
-   components is lost, and a group of near copies costs its size, not its square.
+   not all with all, and lists whose members are linked by now are done. Of long
+   lists that aren't, each class takes the longest as its home; what is not yet
+   linked with a home's largest component is compared with all of the home in
+   blocks, where one matrix product gives all overlaps of full sets and only
+   links that join components leave the task. Pairs that no home has met, and
+   short lists, go on with hubs, round after round more of them, until each list
+   is one component or all its pairs were compared. No link between components
+   is lost.
 3. The sketch of the union, merged from both, estimates the similarity and drops
    pairs far below the threshold.
 4. The similarity of what is left is taken from the full sets.
@@ -40,6 +44,8 @@ from .components import components
 
 SKETCH, SHINGLE, PERCENT = 64, 5, 80
 BROADCAST_ROWS = 200_000
+#: Lists over LONG members get homes, in HOMES rounds; a block of a home holds about BLOCK_VALUES hashes.
+LONG, HOMES, BLOCK_VALUES = 32, 3, 1 << 19
 LOW63 = np.uint64(1)
 
 
@@ -133,6 +139,89 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, k: int, pe
     return near.filter("_exact").select("a", "b").unionByName(large.select("a", "b"))
 
 
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray], common: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of each set of a with each of b, counting the ascending ``common`` hashes alone."""
+    total = np.zeros((len(a), len(b)), np.float32)
+
+    def found(sets):
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        values = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+        ok = common[at] == values
+        return owner[ok], at[ok]
+
+    if not len(common):
+        return total
+    (own_a, at_a), (own_b, at_b) = found(a), found(b)
+    for lo in range(0, len(common), 4096):
+        parts = []
+        for own, at, n in ((own_a, at_a, len(a)), (own_b, at_b, len(b))):
+            pick = (at >= lo) & (at < lo + 4096)
+            m = np.zeros((n, min(4096, len(common) - lo)), np.float32)
+            m[own[pick], at[pick] - lo] = 1
+            parts.append(m)
+        total += parts[0] @ parts[1].T
+    return total
+
+
+def _cell_links(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
+    """Links between two blocks of a home that join components, one for each two components at most."""
+    out = []
+    if left.num_rows and right.num_rows:
+        side = lambda t: (t["cid"].to_pylist(), t["label"].to_pylist(), [np.asarray(x.values) for x in t["full"].combine_chunks()])
+        (ids_a, labels_a, a), (ids_b, labels_b, b) = side(left), side(right)
+        sets = dict(zip(ids_a, a)) | dict(zip(ids_b, b))
+        values, times = np.unique(np.concatenate([*sets.values()]), return_counts=True)
+        both = _overlaps(a, b, values[times > 1])
+        size = lambda x: np.array([len(s) for s in x], np.float32)
+        near = 100 * both >= percent * (size(a)[:, None] + size(b) - both)
+        near &= np.array(labels_a)[:, None] != np.array(labels_b)
+        up: dict[int, int] = {}
+
+        def find(x):
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for i, j in np.argwhere(near).tolist():
+            x, y = find(labels_a[i]), find(labels_b[j])
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                out.append((ids_a[i], ids_b[j]))
+    return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+
+def _home_links(home: DataFrame, key: str, fulls: DataFrame, percent: int) -> DataFrame:
+    """Links within homes (v, cid, n, label, key): all pairs but those that share their home's commonest ``key``."""
+    keyed = home.withColumn("_k", F.coalesce(F.col(key), -1 - F.col("cid")))
+    major = keyed.groupBy("v", "_k").agg(F.count("*").alias("c")).groupBy("v").agg(F.max(F.struct("c", "_k")).alias("m")).select("v", F.col("m._k").alias("_m"))
+    keyed = keyed.join(major, "v")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK_VALUES)).cast("int")
+    odd = F.col("_k") != F.col("_m")
+    sizes = keyed.groupBy("v").agg(blocks(F.sum("n")).alias("_all"), blocks(F.sum(F.when(odd, F.col("n")))).alias("_odd"), F.count(F.when(odd, 1)).alias("_o")).filter("_o > 0").select("v", "_all", "_odd")
+    keyed = keyed.join(sizes, "v").join(fulls, "cid")
+    own = lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
+    fresh = [F.col(c).alias(c) for c in ("v", "cid", "label", "full")]  # each side names its columns anew
+    left = keyed.filter(odd).select(*fresh, own(F.col("_odd")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("_all") - 1)).alias("j"))
+    right = keyed.select(*fresh, own(F.col("_all")).alias("j"), F.explode(F.sequence(F.lit(0), F.col("_odd") - 1)).alias("i"))
+    return left.groupBy("v", "i", "j").cogroup(right.groupBy("v", "i", "j")).applyInArrow(lambda x, y: _cell_links(x, y, percent), "a long, b long")
+
+
+def _relabelled(lists: DataFrame, links: DataFrame | None, paths: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The lists with the labels that the links give."""
+    lists = lists.drop("label")
+    if links is None:
+        return lists.withColumn("label", F.col("cid")), None
+    labels = materialize(components(links), "labels", paths)
+    return lists.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid")), labels
+
+
+def _mixed(lists: DataFrame, paths: list[str]) -> DataFrame:
+    """The rows of lists that hold more than one component."""
+    mixed = lists.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("v")
+    return materialize(lists.join(mixed, "v", "left_semi"), "lists", paths)
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, k: int = SKETCH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row: its near-duplicate group's least id, and whether it is that one."""
     spark = docs.sparkSession
@@ -154,34 +243,69 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     sets = materialize(full_sets(docs, broadcast_if(wanted, wanted.count(), BROADCAST_ROWS), shingle), "sets", paths)
     small = materialize(classes.join(lists.select("cid").distinct(), "cid", "left_semi").select("cid", "sketch"), "small", paths)
 
-    links, tried, labels, hubs = None, None, None, 1
-    lists = lists.withColumn("label", F.col("cid"))
-    while True:
-        # Only lists that still hold more than one component.
-        mixed = lists.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("v")
-        lists = materialize(lists.join(mixed, "v", "left_semi"), "lists", paths)
-        if lists.isEmpty():
-            break
-        salt = F.pmod(F.col("h"), F.lit(hubs))
-        hub = lists.groupBy("v", salt.alias("_s")).agg(F.min(F.struct("h", "cid", "n", "label")).alias("hub")).select("v", F.col("hub.cid").alias("hc"), F.col("hub.n").alias("hn"), F.col("hub.label").alias("hl"))
-        hub = materialize(hub, "hubs", paths)
-        met = lists.join(hub, "v").filter((F.col("label") != F.col("hl")) & (100 * F.least("n", "hn") >= percent * F.greatest("n", "hn")))
+    fulls = sets.unionByName(small.join(classes.filter(F.col("n") <= k).select("cid"), "cid", "left_semi").select("cid", F.col("sketch").alias("full")))
+    homes = [f"h{r}" for r in range(HOMES)]
+    lists = lists.select("*", F.col("cid").alias("label"), *[F.lit(None).cast("long").alias(c) for c in homes])
+    links, tried, labels = None, None, None
+
+    def linked(fresh: DataFrame) -> None:
+        nonlocal links, labels, lists
+        fresh = materialize(fresh, "links", paths)
+        if not fresh.isEmpty():
+            links = fresh if links is None else links.unionByName(fresh)
+        lists, labels = _relabelled(lists, links, paths)
+
+    def meet(hub: DataFrame) -> None:
+        """Compare hubs (v, hc, hn, hl, their homes) with the members of their lists."""
+        nonlocal tried, lists
+        met = F.lit(False)
+        for c in homes:
+            met = met | F.coalesce(F.col(c) == F.col(f"_{c}"), F.lit(False))
+        pairs = lists.join(hub, "v").filter((F.col("label") != F.col("hl")) & ~met & (100 * F.least("n", "hn") >= percent * F.greatest("n", "hn")))
         one = F.col("cid") < F.col("hc")
-        pairs = met.select(F.when(one, F.col("cid")).otherwise(F.col("hc")).alias("a"), F.when(one, F.col("hc")).otherwise(F.col("cid")).alias("b"), F.when(one, F.col("n")).otherwise(F.col("hn")).alias("na"), F.when(one, F.col("hn")).otherwise(F.col("n")).alias("nb")).distinct()
+        two = lambda x, y, name: F.when(one, F.col(x)).otherwise(F.col(y)).alias(name)
+        pairs = pairs.select(two("cid", "hc", "a"), two("hc", "cid", "b"), two("n", "hn", "na"), two("hn", "n", "nb")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs", paths)
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        fresh = materialize(_confirmed(pairs, small, sets, k, percent), "links", paths)
-        if not fresh.isEmpty():
-            links = fresh if links is None else links.unionByName(fresh)
-            labels = materialize(components(links), "labels", paths)
-        lists = lists.drop("label").join(hub.select("v", F.col("hc").alias("cid")), ["v", "cid"], "left_anti")
-        if labels is None:
-            lists = lists.withColumn("label", F.col("cid"))
-        else:
-            lists = lists.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        hubs *= 4
+        linked(_confirmed(pairs, small, sets, k, percent))
+        # A hub has met all of its list and leaves it.
+        was = hub.select("v", F.col("hc").alias("cid"), F.lit(True).alias("_was"))
+        lists = lists.join(was, ["v", "cid"], "left").filter("_was is null").drop("_was")
+
+    def hubs_of(rows: DataFrame, count: int) -> DataFrame:
+        found = rows.groupBy("v", F.pmod(F.col("h"), F.lit(count)).alias("_s")).agg(F.min(F.struct("h", "cid", "n", "label", *homes)).alias("x"))
+        found = found.select("v", F.col("x.cid").alias("hc"), F.col("x.n").alias("hn"), F.col("x.label").alias("hl"), *[F.col(f"x.{c}").alias(f"_{c}") for c in homes])
+        return materialize(found, "hubs", paths)
+
+    meet(hubs_of(lists, 1))
+    for r in range(HOMES):
+        lists = _mixed(lists, paths)
+        done = F.lit(False)
+        for c in homes[:r]:
+            done = done | ((F.count(c) == F.count("*")) & (F.min(c) == F.max(c)))
+        long = lists.groupBy("v").agg(F.count("*").alias("c"), done.alias("done")).filter((F.col("c") > LONG) & ~F.col("done")).select("v", "c")
+        home = lists.join(long, "v").groupBy("cid").agg(F.max(F.struct("c", "v")).alias("x")).select("cid", F.col("x.v").alias("_home"))
+        home = materialize(home, "homes", paths)
+        if home.isEmpty():
+            break
+        lists = materialize(lists.join(home, "cid", "left").withColumn(homes[r], F.col("_home")).drop("_home"), "lists", paths)
+        at_home = lists.filter(F.col("v") == F.col(homes[r]))
+        linked(_home_links(at_home, "label" if r == 0 else homes[0], fulls, percent))
+    # What is left: hubs among the members that don't share the commonest first home of their list.
+    lists = _mixed(lists, paths)
+    first = lists.filter("h0 is not null").groupBy("v", "h0").agg(F.count("*").alias("c")).groupBy("v").agg(F.max(F.struct("c", "h0")).alias("x"))
+    first = materialize(first.select("v", F.col("x.h0").alias("_m")), "firsts", paths)
+    lists = lists.join(first, "v", "left").withColumn("hub", ~F.coalesce(F.col("h0") == F.col("_m"), F.lit(False))).drop("_m")
+    count = 4
+    while True:
+        lists = _mixed(lists, paths)
+        left = lists.filter("hub")
+        if left.isEmpty():
+            break
+        meet(hubs_of(left, count))
+        count *= 4
 
     found = classes.select("n", "key", "rep", "cid")
     if labels is not None:
