@@ -10,7 +10,8 @@ and a decision's probability is the weighted mean of the estimates along its pat
 
 Counts cover all training texts. Texts are dealt into blocks; what a block holds
 (words, and grams of DEPTH bytes and the byte after them) is counted in it,
-summed over blocks by key, and comes back to the blocks that hold the key. So no
+packed by bucket of words and by the last two context bytes of grams, summed over
+blocks, GROUP of them at a time, and comes back to the blocks that hold it. So no
 table of all words or grams is gathered, broadcast or sent to the driver: a
 block meets its own part of the model. Grams that only held-out texts hold take
 part with count 0, so their probability comes from the same trees.
@@ -31,6 +32,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import discard, fold, materialize
 
 DEPTH = 6
-BLOCK_BYTES, LEAST_BLOCKS = 32 << 20, 8
+BLOCK_BYTES, LEAST_BLOCKS, GROUP = 32 << 20, 8, 64
 END = b"\n"
 HALF = math.log(0.5)
 
@@ -51,24 +53,36 @@ def stream(text: str | None) -> bytes:
 def gram_codes(streams: bytes, depth: int = DEPTH) -> np.ndarray:
     """For each byte of streams in a row, its gram: the ``depth`` bytes before it and itself, oldest first.
 
-    A stream's first bytes see the end of the one before, as if each text followed
-    another's end; so bytes before the last end are masked as ends.
+    Bytes before a stream's first are taken as ends, as if each text followed many ends.
     """
     b = np.frombuffer(END * depth + streams, np.uint8).astype(np.uint64)
     n = len(streams)
-    ends = np.frombuffer(END + streams[:-1], np.uint8) == END[0]
-    at = np.arange(n)
-    since = at - np.maximum.accumulate(np.where(ends, at, 0))  # bytes of the own stream before this one
-    code = np.zeros(n, np.uint64)
-    for i in range(depth + 1):
-        part = b[i : i + n]
-        back = depth - i
-        if back:
-            part = np.where(since >= back, part, np.uint64(END[0]))
-        code = code << np.uint64(8) | part
+    code = b[:n].copy()
+    for i in range(1, depth + 1):
+        code <<= np.uint64(8)
+        code |= b[i : i + n]
+    # The first bytes of each stream: everything up to the end before it becomes ends.
+    first = np.flatnonzero(np.frombuffer(streams, np.uint8) == END[0])[:-1] + 1
+    for k in range(depth):
+        at = first[first + k < n] + k
+        at = at[_same_stream(b, at, depth, k)]
+        bits = np.uint64(8 * (k + 1))
+        low = code[at] & ((np.uint64(1) << bits) - np.uint64(1))
+        code[at] = low | _ENDS[depth] >> bits << bits
     return code
 
 
+_ENDS = {d: np.uint64(int.from_bytes(END * (d + 1), "big")) for d in range(1, 8)}
+
+
+def _same_stream(b: np.ndarray, at: np.ndarray, depth: int, k: int) -> np.ndarray:
+    """Whether no stream ends within the k bytes before each place."""
+    ok = np.ones(len(at), bool)
+    for j in range(1, k + 1):
+        ok &= b[at + depth - j] != END[0]
+    return ok
+
+
 def kt_block(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Natural log of the Krichevsky-Trofimov probability of n0 zeros and n1 ones."""
     table = _log_gamma_half
@@ -213,13 +227,58 @@ def _streams(table: pa.Table):
         yield ids.as_py(), held.as_py(), z.decompress(blob.as_py())
 
 
-def _holdings(blobs: DataFrame, depth: int) -> DataFrame:
-    """(block, word, code, n): each block's distinct words and grams with their counts in training texts."""
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes, which compress well."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _numbers(data: bytes, n: int, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, n).T).view(kind).ravel()
+
+
+def pack_numbers(keys: np.ndarray, values: np.ndarray) -> bytes:
+    """Ascending 64-bit keys with counts or float32 values."""
+    values = values.astype(np.float32) if values.dtype.kind == "f" else values.astype(np.uint64)
+    tag = b"f" if values.dtype.kind == "f" else b"n"
+    deltas = np.diff(keys, prepend=np.uint64(0))
+    return zstandard.ZstdCompressor(level=1).compress(tag + len(keys).to_bytes(8, "little") + _planes(deltas) + _planes(values))
+
+
+def unpack_numbers(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n = int.from_bytes(data[1:9], "little")
+    kind = np.float32 if data[:1] == b"f" else np.uint64
+    return np.cumsum(_numbers(data[9 : 9 + 8 * n], n, np.uint64), dtype=np.uint64), _numbers(data[9 + 8 * n :], n, kind)
+
+
+def pack_words(words: list[bytes], counts) -> bytes:
+    """Words, none of which holds an end unless it is the end itself, with counts."""
+    return zstandard.ZstdCompressor(level=1).compress(len(words).to_bytes(8, "little") + _planes(np.array(counts, np.uint64)) + b" ".join(words))
+
+
+def unpack_words(blob: bytes) -> tuple[list[bytes], np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n = int.from_bytes(data[:8], "little")
+    return data[8 + 8 * n :].split(b" ") if n else [], _numbers(data[8 : 8 + 8 * n], n, np.uint64)
+
+
+WORDS, GRAMS = 0, 1
+PARTS = "kind int, key int, block int, blob binary"
+
+
+def _parts(rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows)) or [[]] * 4
+    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["kind", "key", "block", "blob"])
+
+
+def _holdings(blobs: DataFrame, depth: int, buckets: int) -> DataFrame:
+    """Each block's distinct words, by bucket, and grams, by their last two context bytes, with their counts in training texts."""
 
     def run(g: pa.Table) -> pa.Table:
         block = g["block"][0].as_py()
         words: Counter = Counter()
-        unseen: set[bytes] = set()
+        unseen: set[bytes] = {END}
         codes, counts = [], []
         for ids, held, data in _streams(g):
             texts = data.split(END)[:-1]
@@ -239,22 +298,24 @@ def _holdings(blobs: DataFrame, depth: int) -> DataFrame:
             if len(codes) > 32:
                 codes, counts = _summed(codes, counts)
         codes, counts = _summed(codes, counts)
-        unseen.add(END)
-        extra = [w for w in unseen if w not in words]
-        w = pa.array([*words, *extra], pa.binary())
-        n = pa.array([*words.values(), *[0] * len(extra)], pa.int64())
-        grams = pa.concat_arrays(codes)
-        size = len(w) + len(grams)
-        return pa.table(
-            {
-                "block": pa.array(np.full(size, block), pa.int32()),
-                "word": pa.concat_arrays([w, pa.nulls(len(grams), pa.binary())]),
-                "code": pa.concat_arrays([pa.nulls(len(w), pa.int64()), grams.view(pa.int64())]),
-                "n": pa.concat_arrays([n, *counts]),
-            }
-        )
-
-    return blobs.groupBy("block").applyInArrow(run, "block int, word binary, code long, n long")
+        rows = []
+        for w in unseen:
+            words.setdefault(w, 0)
+        by: dict[int, list[bytes]] = {}
+        for w in words:
+            by.setdefault(xxhash.xxh3_64_intdigest(w) % buckets, []).append(w)
+        for k, own in by.items():
+            own.sort()
+            rows.append((WORDS, k, block, pack_words(own, [words[w] for w in own])))
+        code, n = codes[0].to_numpy(), counts[0].to_numpy()
+        tail = (code >> np.uint64(8)) & np.uint64(0xFFFF)
+        order = np.lexsort((code, tail))
+        code, n, tail = code[order], n[order], tail[order]
+        cuts = [0, *(np.flatnonzero(np.diff(tail)) + 1).tolist(), len(tail)]
+        rows += [(GRAMS, int(tail[i]), block, pack_numbers(code[i:j], n[i:j])) for i, j in zip(cuts, cuts[1:])]
+        return _parts(rows)
+
+    return blobs.groupBy("block").applyInArrow(run, PARTS)
 
 
 def _summed(codes: list, counts: list) -> tuple[list, list]:
@@ -262,33 +323,79 @@ def _summed(codes: list, counts: list) -> tuple[list, list]:
     return [t["c"].combine_chunks()], [t["n_sum"].combine_chunks()]
 
 
-def _trees(g: pa.Table, depth: int) -> tuple[Subtrees, np.ndarray]:
-    codes = g["code"].to_numpy().view(np.uint64)
-    return Subtrees(codes, g["n"].to_numpy(), depth), codes
+def _merge_numbers(blobs) -> tuple[np.ndarray, np.ndarray]:
+    parts = [unpack_numbers(b.as_py()) for b in blobs]
+    codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    return codes, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
+
+
+def _merge_words(blobs) -> tuple[list[bytes], list[int]]:
+    total: Counter = Counter()
+    for b in blobs:
+        words, n = unpack_words(b.as_py())
+        for w, c in zip(words, n.tolist()):
+            total[w] += c
+    words = sorted(total)
+    return words, [total[w] for w in words]
+
+
+def _merged(parts: DataFrame) -> DataFrame:
+    """Sums over at most GROUP blocks at a time, so that no task holds a key's parts of all blocks."""
+
+    def run(g: pa.Table) -> pa.Table:
+        kind, key = g["kind"][0].as_py(), g["key"][0].as_py()
+        blob = pack_words(*_merge_words(g["blob"])) if kind == WORDS else pack_numbers(*_merge_numbers(g["blob"]))
+        return _parts([(kind, key, g["group"][0].as_py(), blob)])
+
+    return parts.withColumn("group", F.floor(F.col("block") / GROUP).cast("int")).groupBy("kind", "key", "group").applyInArrow(run, PARTS)
 
 
 def _crown(grams: DataFrame, depth: int) -> Crown:
     """The upper levels: at most 256 * 255 sums come to the driver."""
 
     def run(g: pa.Table) -> pa.Table:
-        trees, _ = _trees(g, depth)
-        key, n0, n1, logp = trees.roots()
+        key, n0, n1, logp = Subtrees(*_merge_numbers(g["blob"]), depth).roots()
         last = (key >> np.uint64(16)).astype(np.int64) & 255
         return pa.table({"last": pa.array(last, pa.int32()), "node": pa.array((key & np.uint64(255)).astype(np.int32)), "n0": pa.array(n0), "n1": pa.array(n1), "logp": pa.array(logp)})
 
-    rows = grams.groupBy("tail").applyInArrow(run, "last int, node int, n0 double, n1 double, logp double")
+    rows = grams.groupBy("key").applyInArrow(run, "last int, node int, n0 double, n1 double, logp double")
     rows = rows.groupBy("last", "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("logp").alias("logp")).toPandas()
     return Crown(*(rows[c].to_numpy(t) for c, t in (("last", np.int64), ("node", np.int64), ("n0", float), ("n1", float), ("logp", float))))
 
 
-def _log_probabilities(grams: DataFrame, crown: Crown, depth: int) -> DataFrame:
-    shared = grams.sparkSession.sparkContext.broadcast(crown)
+def _models(merged: DataFrame, crown: Crown, depth: int) -> DataFrame:
+    """(kind, key, blob): the words of a bucket with their counts, the grams of a tail with their log10 probabilities."""
+    shared = merged.sparkSession.sparkContext.broadcast(crown)
 
     def run(g: pa.Table) -> pa.Table:
-        trees, codes = _trees(g, depth)
-        return pa.table({"code": g["code"], "value": pa.array(log10_of_grams(trees, shared.value, len(codes)))})
+        kind, key = g["kind"][0].as_py(), g["key"][0].as_py()
+        if kind == WORDS:
+            return _parts([(kind, key, 0, pack_words(*_merge_words(g["blob"])))])
+        codes, n = _merge_numbers(g["blob"])
+        return _parts([(kind, key, 0, pack_numbers(codes, log10_of_grams(Subtrees(codes, n, depth), shared.value, len(codes))))])
+
+    return merged.groupBy("kind", "key").applyInArrow(run, PARTS)
 
-    return grams.groupBy("tail").applyInArrow(run, "code long, value double")
+
+def _returned(parts: DataFrame, models: DataFrame, groups: int) -> DataFrame:
+    """The model's part for each block: what the block holds of each key, with the model's values."""
+
+    def run(held: pa.Table, table: pa.Table) -> pa.Table:
+        if not held.num_rows:
+            return _parts([])
+        kind, key = held["kind"][0].as_py(), held["key"][0].as_py()
+        if kind == WORDS:
+            words, n = unpack_words(table["blob"][0].as_py())
+            value = dict(zip(words, n.tolist()))
+            own = ((b, unpack_words(x.as_py())[0]) for b, x in zip(held["block"], held["blob"]))
+            return _parts([(kind, key, b.as_py(), pack_words(w, [value[x] for x in w])) for b, w in own])
+        codes, values = unpack_numbers(table["blob"][0].as_py())
+        own = ((b, unpack_numbers(x.as_py())[0]) for b, x in zip(held["block"], held["blob"]))
+        return _parts([(kind, key, b.as_py(), pack_numbers(c, values[np.searchsorted(codes, c)])) for b, c in own])
+
+    left = parts.select("kind", "key", "block", "blob", F.floor(F.col("block") / GROUP).cast("int").alias("group")).groupBy("kind", "key", "group")
+    right = models.select(F.col("kind").alias("kind"), F.col("key").alias("key"), F.col("blob").alias("blob"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")).groupBy("kind", "key", "group")
+    return left.cogroup(right).applyInArrow(run, PARTS)
 
 
 def _scored(blobs: DataFrame, model: DataFrame, total: int, distinct: int, depth: int) -> DataFrame:
@@ -297,21 +404,27 @@ def _scored(blobs: DataFrame, model: DataFrame, total: int, distinct: int, depth
 
     def run(texts: pa.Table, table: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        is_word = pc.is_valid(table["word"])
-        words, grams = table.filter(is_word), table.filter(pc.invert(is_word))
-        n = words["value"].to_numpy()
         unknown = math.log10(0.5 / norm)
-        logs = dict(zip(words["word"].to_pylist(), np.where(n > 0, np.log10((n + 0.5) / norm), unknown).tolist()))
-        codes = grams["code"].to_numpy().view(np.uint64)
+        logs: dict[bytes, float] = {}
+        codes, values = [], []
+        for kind, blob in zip(table["kind"].to_pylist(), table["blob"]):
+            if kind == WORDS:
+                words, n = unpack_words(blob.as_py())
+                logs.update(zip(words, np.where(n > 0, np.log10((n + 0.5) / norm), unknown).tolist()))
+            else:
+                c, v = unpack_numbers(blob.as_py())
+                codes.append(c)
+                values.append(v)
+        codes, values = np.concatenate([np.empty(0, np.uint64), *codes]), np.concatenate([np.empty(0, np.float32), *values])
         order = np.argsort(codes)
-        codes, values = codes[order], grams["value"].to_numpy()[order]
+        codes, values = codes[order], values[order]
         for ids, held, data in _streams(texts):
             found = pa.array(gram_codes(data, depth)).dictionary_encode()
-            own = values[np.searchsorted(codes, found.dictionary.to_numpy())]
-            sizes = [len(t) + 1 for t in data.split(END)[:-1]]
-            starts = np.cumsum([0, *sizes[:-1]])
-            scores = np.add.reduceat(own[found.indices.to_numpy()], starts)
-            for i, h, t, size, s in zip(ids, held, data.split(END), sizes, scores.tolist()):
+            own = values[np.searchsorted(codes, found.dictionary.to_numpy())].astype(np.float64)
+            texts_here = data.split(END)[:-1]
+            sizes = [len(t) + 1 for t in texts_here]
+            scores = np.add.reduceat(own[found.indices.to_numpy()], np.cumsum([0, *sizes[:-1]]))
+            for i, h, t, size, s in zip(ids, held, texts_here, sizes, scores.tolist()):
                 each = [*map(logs.__getitem__, t.split()), logs[END]]
                 out.append((i, h, len(each), len(each) - each.count(unknown), sum(each), s, size))
         cols = list(zip(*out)) or [[]] * 7
@@ -323,24 +436,33 @@ def _scored(blobs: DataFrame, model: DataFrame, total: int, distinct: int, depth
     return blobs.groupBy("block").cogroup(model.groupBy("block")).applyInArrow(run, schema)
 
 
+def _facts(words: DataFrame) -> tuple[int, int]:
+    """Tokens and distinct tokens of the training texts: N and V."""
+
+    def run(batches):
+        for b in batches:
+            n = [unpack_words(x.as_py())[1] for x in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(sum(x.sum() for x in n))], pa.int64()), pa.array([int(sum((x > 0).sum() for x in n))], pa.int64())], names=["n", "v"])
+
+    r = words.select("blob").mapInArrow(run, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
+    return r[0] or 0, r[1] or 0
+
+
 def score_documents(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of every document."""
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("s")).first()["s"]
-    blobs = _blobs(docs, max(LEAST_BLOCKS, math.ceil(size / BLOCK_BYTES)))
+    n_blocks = max(LEAST_BLOCKS, math.ceil(size / BLOCK_BYTES))
+    blobs = _blobs(docs, n_blocks)
     paths: list[str] = []
-    held = materialize(_holdings(blobs, depth), "holdings", paths)
-    words = materialize(held.filter("word is not null").groupBy("word").agg(F.sum("n").alias("value")), "words", paths)
-    facts = words.agg(F.coalesce(F.sum("value"), F.lit(0)).alias("total"), F.count(F.when(F.col("value") > 0, 1)).alias("distinct")).first()
-    tail = F.shiftrightunsigned("code", 8).bitwiseAND(F.lit(0xFFFF))
-    grams = held.filter("code is not null").groupBy("code").agg(F.sum("n").alias("n")).withColumn("tail", tail)
-    grams = materialize(grams, "grams", paths)
-    crown = _crown(grams, depth)
-    known = held.filter("word is not null").select("block", "word").join(words, "word").select("block", "word", F.lit(None).cast("long").alias("code"), F.col("value").cast("double").alias("value"))
-    likely = _log_probabilities(grams, crown, depth)
-    spread = held.filter("code is not null").select("block", "code").join(likely, "code").select("block", F.lit(None).cast("binary").alias("word"), "code", "value")
-    scored = materialize(_scored(blobs, known.unionByName(spread), facts["total"], facts["distinct"], depth), "scored")
+    held = materialize(_holdings(blobs, depth, n_blocks), "holdings", paths)
+    merged = materialize(_merged(held), "merged", paths)
+    crown = _crown(merged.filter(F.col("kind") == GRAMS), depth)
+    models = materialize(_models(merged, crown, depth), "models", paths)
+    total, distinct = _facts(models.filter(F.col("kind") == WORDS))
+    back = _returned(held, models, math.ceil(n_blocks / GROUP))
+    scored = materialize(_scored(blobs, back, total, distinct, depth), "scored")
     discard(spark, paths)
     return scored.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(facts["total"]).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes", (-F.col("score") / math.log10(2) / F.col("n_bytes")).alias("bits_per_byte")
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes", (-F.col("score") / math.log10(2) / F.col("n_bytes")).alias("bits_per_byte")
     )
