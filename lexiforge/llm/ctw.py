@@ -31,7 +31,6 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -40,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import discard, fold, materialize
 
 DEPTH = 6
-BLOCK_BYTES, LEAST_BLOCKS, GROUP = 32 << 20, 8, 64
+BLOCK_BYTES, CHUNK, LEAST_BLOCKS, GROUP = 24 << 20, 4 << 20, 8, 64
 END = b"\n"
 HALF = math.log(0.5)
 
@@ -221,10 +220,19 @@ def _blobs(docs: DataFrame, blocks: int) -> DataFrame:
 
 
 def _streams(table: pa.Table):
-    """(ids, held, streams) of each row of a block."""
+    """(ids, held, streams) of a block, in chunks of about CHUNK bytes."""
     z = zstandard.ZstdDecompressor()
-    for ids, held, blob in zip(table["ids"], table["held"], table["blob"]):
-        yield ids.as_py(), held.as_py(), z.decompress(blob.as_py())
+    ids, held, data, size = [], [], [], 0
+    for i, h, blob in zip(table["ids"], table["held"], table["blob"]):
+        ids += i.as_py()
+        held += h.as_py()
+        data.append(z.decompress(blob.as_py()))
+        size += len(data[-1])
+        if size >= CHUNK:
+            yield ids, held, b"".join(data)
+            ids, held, data, size = [], [], [], 0
+    if ids:
+        yield ids, held, b"".join(data)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -292,12 +300,12 @@ def _holdings(blobs: DataFrame, depth: int, buckets: int) -> DataFrame:
                 else:
                     words.update(tokens)
                     words[END] += len(own)
-                found = pc.value_counts(pa.array(gram_codes(END.join(own) + END, depth)))
-                codes.append(found.field(0))
-                counts.append(pc.multiply(found.field(1), 0 if h else 1))
-            if len(codes) > 32:
-                codes, counts = _summed(codes, counts)
-        codes, counts = _summed(codes, counts)
+                code, n = np.unique(gram_codes(END.join(own) + END, depth), return_counts=True)
+                codes.append(code)
+                counts.append(n * (not h))
+            if sum(map(len, codes)) > 1 << 22:
+                codes, counts = [[x] for x in _summed(codes, counts)]
+        code, n = _summed(codes, counts)
         rows = []
         for w in unseen:
             words.setdefault(w, 0)
@@ -307,9 +315,8 @@ def _holdings(blobs: DataFrame, depth: int, buckets: int) -> DataFrame:
         for k, own in by.items():
             own.sort()
             rows.append((WORDS, k, block, pack_words(own, [words[w] for w in own])))
-        code, n = codes[0].to_numpy(), counts[0].to_numpy()
         tail = (code >> np.uint64(8)) & np.uint64(0xFFFF)
-        order = np.lexsort((code, tail))
+        order = np.argsort(tail, kind="stable")
         code, n, tail = code[order], n[order], tail[order]
         cuts = [0, *(np.flatnonzero(np.diff(tail)) + 1).tolist(), len(tail)]
         rows += [(GRAMS, int(tail[i]), block, pack_numbers(code[i:j], n[i:j])) for i, j in zip(cuts, cuts[1:])]
@@ -318,15 +325,19 @@ def _holdings(blobs: DataFrame, depth: int, buckets: int) -> DataFrame:
     return blobs.groupBy("block").applyInArrow(run, PARTS)
 
 
-def _summed(codes: list, counts: list) -> tuple[list, list]:
-    t = pa.table({"c": pa.chunked_array(codes), "n": pa.chunked_array(counts)}).group_by("c").aggregate([("n", "sum")])
-    return [t["c"].combine_chunks()], [t["n_sum"].combine_chunks()]
+def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, ascending, with their summed counts."""
+    code, n = np.concatenate(codes), np.concatenate(counts)
+    order = np.argsort(code)
+    code = code[order]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    return code[first], np.add.reduceat(n[order], first)
 
 
 def _merge_numbers(blobs) -> tuple[np.ndarray, np.ndarray]:
     parts = [unpack_numbers(b.as_py()) for b in blobs]
-    codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-    return codes, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
+    codes, n = _summed([c for c, _ in parts], [n for _, n in parts])
+    return codes, n.astype(np.int64)
 
 
 def _merge_words(blobs) -> tuple[list[bytes], list[int]]:
@@ -419,11 +430,16 @@ def _scored(blobs: DataFrame, model: DataFrame, total: int, distinct: int, depth
         order = np.argsort(codes)
         codes, values = codes[order], values[order]
         for ids, held, data in _streams(texts):
-            found = pa.array(gram_codes(data, depth)).dictionary_encode()
-            own = values[np.searchsorted(codes, found.dictionary.to_numpy())].astype(np.float64)
+            code = gram_codes(data, depth)
+            order = np.argsort(code)
+            code = code[order]
+            first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            each_gram = values[np.searchsorted(codes, code[first])].astype(np.float64)
+            own = np.empty(len(code))
+            own[order] = np.repeat(each_gram, np.diff(first, append=len(code)))
             texts_here = data.split(END)[:-1]
             sizes = [len(t) + 1 for t in texts_here]
-            scores = np.add.reduceat(own[found.indices.to_numpy()], np.cumsum([0, *sizes[:-1]]))
+            scores = np.add.reduceat(own, np.cumsum([0, *sizes[:-1]]))
             for i, h, t, size, s in zip(ids, held, texts_here, sizes, scores.tolist()):
                 each = [*map(logs.__getitem__, t.split()), logs[END]]
                 out.append((i, h, len(each), len(each) - each.count(unknown), sum(each), s, size))
