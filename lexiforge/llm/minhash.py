@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, discard, materialize
+from .common import broadcast_if, discard, materialize, tidy
 from .components import components
 
 SKETCH, SHINGLE, PERCENT = 64, 5, 80
@@ -207,11 +207,9 @@ def _home_links(home: DataFrame, key: str, fulls: DataFrame, percent: int) -> Da
     return left.groupBy("v", "i", "j").cogroup(right.groupBy("v", "i", "j")).applyInArrow(lambda x, y: _cell_links(x, y, percent), "a long, b long")
 
 
-def _relabelled(lists: DataFrame, links: DataFrame | None, paths: list[str]) -> tuple[DataFrame, DataFrame | None]:
+def _relabelled(lists: DataFrame, links: DataFrame, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """The lists with the labels that the links give."""
     lists = lists.drop("label")
-    if links is None:
-        return lists.withColumn("label", F.col("cid")), None
     labels = materialize(components(links), "labels", paths)
     return lists.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid")), labels
 
@@ -253,7 +251,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
         fresh = materialize(fresh, "links", paths)
         if not fresh.isEmpty():
             links = fresh if links is None else links.unionByName(fresh)
-        lists, labels = _relabelled(lists, links, paths)
+            lists, labels = _relabelled(lists, links, paths)
+        tidy(spark)
 
     def meet(hub: DataFrame) -> None:
         """Compare hubs (v, hc, hn, hl, their homes) with the members of their lists."""
@@ -298,14 +297,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     first = lists.filter("h0 is not null").groupBy("v", "h0").agg(F.count("*").alias("c")).groupBy("v").agg(F.max(F.struct("c", "h0")).alias("x"))
     first = materialize(first.select("v", F.col("x.h0").alias("_m")), "firsts", paths)
     lists = lists.join(first, "v", "left").withColumn("hub", ~F.coalesce(F.col("h0") == F.col("_m"), F.lit(False))).drop("_m")
-    count = 4
+    count = 8
     while True:
         lists = _mixed(lists, paths)
         left = lists.filter("hub")
         if left.isEmpty():
             break
         meet(hubs_of(left, count))
-        count *= 4
+        count *= 8
 
     found = classes.select("n", "key", "rep", "cid")
     if labels is not None:
