@@ -29,6 +29,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 
 from .common import tokenizer_path
@@ -39,7 +40,7 @@ PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{Whi
 AWKWARD = re.compile(r" (?:\s|\Z)")
 BLOCK_CHARS = 1 << 22
 CACHE_PIECES = 600_000
-LONG_WORD = 256
+LONG_WORD, SHORT = 256, 6
 BYTES = [bytes((i,)) for i in range(256)]
 
 
@@ -79,6 +80,13 @@ class BpeModel:
         ends: dict[bytes, set[int]] = {}
         for b in self.token:
             ends.setdefault(b[-2:], set()).add(len(b))
+        #: Tokens over SHORT bytes, by their last SHORT bytes: lengths, longest first.
+        long: dict[bytes, set[int]] = {}
+        for b in self.token:
+            if len(b) > SHORT:
+                long.setdefault(b[-SHORT:], set()).add(len(b))
+        self.long = {e: tuple(sorted(n, reverse=True)) for e, n in long.items()}
+        self.short: dict[bytes, tuple] = {}
         #: Lengths of the tokens that end in these two bytes, longest first; a single byte always ends a text.
         self.lengths = {e: tuple(sorted(n | {1}, reverse=True)) for e, n in ends.items()}
 
@@ -103,9 +111,17 @@ class BpeModel:
             else:
                 return False
 
+    def _fits(self, before: int, t: int) -> bool:
+        """Whether t can follow ``before``; answers are kept."""
+        key = before << 32 | t
+        ok = self.apart.get(key)
+        if ok is None:
+            ok = self.apart[key] = not self._crossed(before, t, self.never)
+        return ok
+
     def last_token(self, path: bytes | bytearray, end: int, last: list[int]) -> int:
         """The last token of path[:end], from the last tokens of its shorter prefixes."""
-        token, apart = self.token, self.apart
+        token = self.token
         for n in self.lengths.get(bytes(path[max(0, end - 2) : end]), (1,)):
             if n > end:
                 continue
@@ -114,13 +130,7 @@ class BpeModel:
                 continue
             if n == end:
                 return t
-            key = last[end - n] << 32 | t
-            ok = apart.get(key)
-            if ok is None:
-                if len(apart) > 1_000_000:
-                    apart.clear()
-                ok = apart[key] = not self._crossed(last[end - n], t, self.never)
-            if ok:
+            if self._fits(last[end - n], t):
                 return t
         raise AssertionError("every prefix has a last token")
 
@@ -148,37 +158,74 @@ class BpeModel:
             node[-1] = w
         if -1 in root:
             out[b""] = []
-        token, apart, lengths, crossed, never = self.token.get, self.apart, self.lengths, self._crossed, self.never
+        token, apart, long, short, fits = self.token.get, self.apart, self.long, self.short, self._fits
         last = [0] * (LONG_WORD + 1)
         todo = [(bytes((c,)), child) for c, child in root.items() if c >= 0]
         while todo:
             path, node = todo.pop()
             end = len(path)
-            for n in lengths.get(path[-2:], (1,)):
-                if n > end or (t := token(path[-n:])) is None:
-                    continue
-                if n == end:
-                    break
-                before = last[end - n]
-                ok = apart.get(key := before << 32 | t)
-                if ok is None:
-                    ok = apart[key] = not crossed(before, t, never)
-                if ok:
-                    break
+            ending = path[-SHORT:]
+            t = None
+            if ending in long:
+                for n in long[ending]:
+                    if n <= end and (x := token(path[-n:])) is not None and (n == end or fits(last[end - n], x)):
+                        t = x
+                        break
+            if t is None:
+                found = short.get(ending)
+                if found is None:
+                    found = short[ending] = tuple((n, x) for n in range(len(ending), 0, -1) if (x := token(ending[-n:])) is not None)
+                for n, t in found:
+                    if n == end:
+                        break
+                    ok = apart.get(last[end - n] << 32 | t)
+                    if ok or (ok is None and fits(last[end - n], t)):
+                        break
             last[end] = t
             for c, child in node.items():
                 if c < 0:
                     out[child] = self._ids(end, last)
                 else:
                     todo.append((path + BYTES[c], child))
-        if len(apart) > 1_000_000:
+        if len(apart) > 600_000:
             apart.clear()
+        if len(short) > 300_000:
+            short.clear()
         return out
 
 
+class Library:
+    """The same vocabulary's encoding by a compiled library, for operators whose method isn't the trie."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        alphabet = byte_alphabet()
+        self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        ranks = {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.specials}
+        self.size = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
+        for b, i in ranks.items():
+            self.size[i] = len(b)
+        # Merging goes by rank: single bytes first, then as the merges are listed.
+        self.own = tiktoken.Encoding("own", pat_str=r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""", mergeable_ranks=ranks, special_tokens={})
+
+    def encode_pieces(self, pieces: list[str], lead: str) -> list[list[int]]:
+        """Pieces that follow a space are encoded in one text, as no token crosses such a space, and told apart by their bytes."""
+        if not lead:
+            return [self.own.encode_ordinary(p) for p in pieces]
+        data = [(lead + p).encode() for p in pieces]
+        ids = self.own.encode_ordinary(b"".join(data).decode())
+        at = np.cumsum(self.size[ids])
+        ends = np.searchsorted(at, np.cumsum([len(d) for d in data])) + 1
+        starts = [0, *ends[:-1].tolist()]
+        return [ids[i:j] for i, j in zip(starts, ends.tolist())]
+
+
 class PieceEncoder:
     """Encodes texts through a bounded cache of pieces; ``value`` turns a piece's ids into what is kept.
 
+    ``model`` finds the ids of missing pieces: a BpeModel by the trie, a Library at once.
+
     ``frequent`` maps pieces that follow a space to their values and is never evicted.
     """
 
@@ -191,8 +238,12 @@ class PieceEncoder:
         self.tokens: dict = {}
 
     def _fill(self, missing: set[str], cache: dict, lead: str) -> None:
+        if isinstance(self.model, Library):
+            pieces = list(missing)
+            cache.update(zip(pieces, map(self.value, self.model.encode_pieces(pieces, lead))))
+            return
         known = self.tokens
-        pieces = {p: PRE_TOKEN.findall(lead + p) for p in missing}
+        pieces = {p: [lead + p] if p.isalpha() else PRE_TOKEN.findall(lead + p) for p in missing}
         fresh = {t.encode(): t for ts in pieces.values() for t in ts if t not in known}
         known.update((fresh[w], self.value(ids)) for w, ids in self.model.encode_words(fresh).items())
         for p, ts in pieces.items():
@@ -281,10 +332,12 @@ def pack_ids(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
-def id_encoder(path: str) -> PieceEncoder:
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(model(path), pack_ids, b"".join)
-    return _encoders[path]
+def id_encoder(path: str, trie: bool = True) -> PieceEncoder:
+    """This worker's encoder of ids, by the trie or by the library."""
+    key = path, trie
+    if key not in _encoders:
+        _encoders[key] = PieceEncoder(model(path) if trie else Library(path), pack_ids, b"".join)
+    return _encoders[key]
 
 
 def decode(path: str, ids: bytes) -> str:

@@ -30,7 +30,7 @@ from .bpe import blocks, id_encoder, pack_ids
 from .common import materialize, tokenizer_path
 
 WINDOW = 2048
-GROUP = 2000
+GROUP = 1200
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
@@ -86,7 +86,7 @@ def pack(sizes: list[int], window: int = WINDOW) -> list[list[int]]:
         over = sum(max(0, sum(sizes[i] for i in w) - window) for w in windows)
         if not over:
             return windows
-        k += max(1, over // (2 * window))
+        k += max(1, k // 100, over // (2 * window))
 
 
 def pieces(docs: DataFrame, path: str, end_id: int, window: int, max_piece: int) -> DataFrame:
@@ -103,7 +103,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, window: int, max_piece: int)
             yield whole + at, to - at
 
     def run(batches):
-        enc = id_encoder(path)
+        enc = id_encoder(path, trie=False)
         end = pack_ids([end_id])
         for b in batches:
             for at, texts in blocks(b.column(1)):

@@ -17,7 +17,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import AWKWARD, PieceEncoder, blocks, model
+from .bpe import AWKWARD, Library, PieceEncoder, blocks
 from .common import tokenizer_path
 
 _encoders: dict = {}
@@ -57,7 +57,7 @@ def token_counts(docs: DataFrame, limit: int = 512, path: str | None = None, tab
     """(doc_id, n_bytes, n_tokens, over_limit) for every whole text; one row for each row of ``docs``."""
     path = path or tokenizer_path()
     pieces = frequent_pieces(docs, table_size)
-    own = PieceEncoder(model(path), len, sum)
+    own = PieceEncoder(Library(path), len, sum)
     own._fill(set(pieces), own.spaced, " ")
     table = docs.sparkSession.sparkContext.broadcast({p: own.spaced[p] for p in pieces})
 
@@ -65,7 +65,7 @@ def token_counts(docs: DataFrame, limit: int = 512, path: str | None = None, tab
         key = path, table_key
         if key not in _encoders:
             _encoders.clear()
-            _encoders[key] = PieceEncoder(model(path), len, sum, table.value)
+            _encoders[key] = PieceEncoder(Library(path), len, sum, table.value)
         enc = _encoders[key]
         for b in batches:
             for at, texts in blocks(b.column(1)):
