@@ -18,13 +18,15 @@ library does by default; texts and single words of any length are encoded whole.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
 import sys
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{Whi
 #: A space at which cutting isn't known to be safe.
 AWKWARD = re.compile(r" (?:\s|\Z)")
 BLOCK_CHARS = 1 << 22
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_000_000
 LONG_WORD, SHORT = 256, 6
 BYTES = [bytes((i,)) for i in range(256)]
 
@@ -280,29 +282,46 @@ class PieceEncoder:
             self.bare = {}
 
     def encode(self, texts: list[str | None]) -> list:
-        """What ``join`` makes of each text's values; the misses of a block of texts share one trie."""
+        """What ``join`` makes of each text's values; the misses of a block of texts share one trie.
+
+        Nothing here makes reference cycles, but a great many containers: the cycle collector waits meanwhile.
+        """
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if was:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list:
         self._trim()
         texts = [t or "" for t in texts]
         special = [next((s for s in self.model.specials if s in t), None) for t in texts]
-        spaced: set[str] = set()
-        split: list[list[str] | None] = []
+        missing: set[str] = set()
+        split: list[tuple | None] = []
         heads = set()
+        get = self.spaced.get
         for t, s in zip(texts, special):
             if s is not None or AWKWARD.search(t):
                 split.append(None)
                 continue
-            parts = t.split(" ")
-            heads.add(parts[0])
-            spaced.update(islice(parts, 1, None))
-            split.append(parts)
-        for part, cache, lead in ((heads, self.bare, ""), (spaced, self.spaced, " ")):
-            missing = part.difference(cache)
-            if missing:
-                self._fill(missing, cache, lead)
+            head, *parts = t.split(" ")
+            heads.add(head)
+            # One look-up for each piece; no piece after a space has an empty value, so what is false is missing.
+            values = list(map(get, parts))
+            missing.update(compress(parts, map(not_, values)))
+            split.append((head, parts, values))
+        for part, cache, lead in ((heads.difference(self.bare), self.bare, ""), (missing, self.spaced, " ")):
+            if part:
+                self._fill(part, cache, lead)
         out = []
         for t, s, parts in zip(texts, special, split):
             if parts is not None:
-                out.append(self.join([self.bare[parts[0]], *map(self.spaced.__getitem__, islice(parts, 1, None))]))
+                head, pieces, values = parts
+                for i in list(compress(range(len(values)), map(not_, values))):
+                    values[i] = self.spaced[pieces[i]]
+                out.append(self.join([self.bare[head], *values]))
             elif s is None:
                 out.append(self.join(self._whole(t)))
             else:
