@@ -30,7 +30,7 @@ from .bpe import blocks, id_encoder, pack_ids
 from .common import materialize, tokenizer_path
 
 WINDOW = 2048
-GROUP = 1200
+GROUP = 700
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
