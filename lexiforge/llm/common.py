@@ -46,6 +46,11 @@ def materialize(df: DataFrame, label: str, keep: list[str] | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_tasks(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """As many partitions as ``rows`` rows need, at ``each`` a task: small tables of a loop aren't spread over all partitions."""
+    return df.coalesce(max(4, -(-rows // each)))
+
+
 def discard(spark: SparkSession, paths: list[str]) -> None:
     """Delete intermediate tables that no later plan reads."""
     jvm = spark.sparkContext._jvm

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, in_tasks, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -24,18 +24,20 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node that each node of the edges (a, b; longs) can reach."""
     spark = edges.sparkSession
     paths: list[str] = []
-    e = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges", paths)
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
+    e = materialize(in_tasks(edges.distinct(), edges.count()), "edges", paths)
     before = None
     while (state := _state(e)) != before:
-        before = state
+        before, rows = state, state[0]
         old = paths[:]
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        large = in_tasks(in_tasks(large, rows).distinct(), rows)
         small_min = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(small_min, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small_min.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        e = materialize(small, "edges", paths)
+        small = in_tasks(large.join(small_min, "a"), rows)
+        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small_min.select("a", F.col("m").alias("b"))).filter("a <> b")
+        e = materialize(in_tasks(in_tasks(small, rows).distinct(), rows), "edges", paths)
         discard(spark, old)
         paths = [p for p in paths if p not in old] or paths
     found = e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))

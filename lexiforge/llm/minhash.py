@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, discard, materialize, tidy
+from .common import broadcast_if, discard, in_tasks, materialize, tidy
 from .components import components
 
 SKETCH, SHINGLE, PERCENT = 64, 5, 80
@@ -207,17 +207,18 @@ def _home_links(home: DataFrame, key: str, fulls: DataFrame, percent: int) -> Da
     return left.groupBy("v", "i", "j").cogroup(right.groupBy("v", "i", "j")).applyInArrow(lambda x, y: _cell_links(x, y, percent), "a long, b long")
 
 
-def _relabelled(lists: DataFrame, links: DataFrame, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+def _relabelled(lists: DataFrame, links: DataFrame, paths: list[str], rows: int) -> tuple[DataFrame, DataFrame]:
     """The lists with the labels that the links give."""
     lists = lists.drop("label")
-    labels = materialize(components(links), "labels", paths)
-    return lists.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid")), labels
+    n = links.count()
+    labels = materialize(in_tasks(components(links), 2 * n), "labels", paths)
+    return in_tasks(lists.join(labels.withColumnRenamed("node", "cid"), "cid", "left"), rows).withColumn("label", F.coalesce("label", "cid")), labels
 
 
-def _mixed(lists: DataFrame, paths: list[str]) -> DataFrame:
+def _mixed(lists: DataFrame, paths: list[str], rows: int) -> DataFrame:
     """The rows of lists that hold more than one component."""
     mixed = lists.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("v")
-    return materialize(lists.join(mixed, "v", "left_semi"), "lists", paths)
+    return materialize(in_tasks(lists.join(mixed, "v", "left_semi"), rows), "lists", paths)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, k: int = SKETCH) -> DataFrame:
@@ -245,13 +246,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     homes = [f"h{r}" for r in range(HOMES)]
     lists = lists.select("*", F.col("cid").alias("label"), *[F.lit(None).cast("long").alias(c) for c in homes])
     links, tried, labels = None, None, None
+    n_rows = lists.count()
 
     def linked(fresh: DataFrame) -> None:
         nonlocal links, labels, lists
-        fresh = materialize(fresh, "links", paths)
+        fresh = materialize(in_tasks(fresh, n_rows, 10_000), "links", paths)
         if not fresh.isEmpty():
             links = fresh if links is None else links.unionByName(fresh)
-            lists, labels = _relabelled(lists, links, paths)
+            lists, labels = _relabelled(lists, links, paths, n_rows)
         tidy(spark)
 
     def meet(hub: DataFrame) -> None:
@@ -263,48 +265,49 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
         pairs = lists.join(hub, "v").filter((F.col("label") != F.col("hl")) & ~met & (100 * F.least("n", "hn") >= percent * F.greatest("n", "hn")))
         one = F.col("cid") < F.col("hc")
         two = lambda x, y, name: F.when(one, F.col(x)).otherwise(F.col(y)).alias(name)
-        pairs = pairs.select(two("cid", "hc", "a"), two("hc", "cid", "b"), two("n", "hn", "na"), two("hn", "n", "nb")).distinct()
+        pairs = pairs.select(two("cid", "hc", "a"), two("hc", "cid", "b"), two("n", "hn", "na"), two("hn", "n", "nb"))
+        pairs = in_tasks(pairs, n_rows).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs", paths)
+        pairs = materialize(in_tasks(pairs, n_rows), "pairs", paths)
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         linked(_confirmed(pairs, small, sets, k, percent))
         # A hub has met all of its list and leaves it.
         was = hub.select("v", F.col("hc").alias("cid"), F.lit(True).alias("_was"))
-        lists = lists.join(was, ["v", "cid"], "left").filter("_was is null").drop("_was")
+        lists = in_tasks(lists.join(was, ["v", "cid"], "left"), n_rows).filter("_was is null").drop("_was")
 
     def hubs_of(rows: DataFrame, count: int) -> DataFrame:
         found = rows.groupBy("v", F.pmod(F.col("h"), F.lit(count)).alias("_s")).agg(F.min(F.struct("h", "cid", "n", "label", *homes)).alias("x"))
         found = found.select("v", F.col("x.cid").alias("hc"), F.col("x.n").alias("hn"), F.col("x.label").alias("hl"), *[F.col(f"x.{c}").alias(f"_{c}") for c in homes])
-        return materialize(found, "hubs", paths)
+        return materialize(in_tasks(found, n_rows), "hubs", paths)
 
     meet(hubs_of(lists, 1))
     for r in range(HOMES):
-        lists = _mixed(lists, paths)
+        lists = _mixed(lists, paths, n_rows)
         done = F.lit(False)
         for c in homes[:r]:
             done = done | ((F.count(c) == F.count("*")) & (F.min(c) == F.max(c)))
         long = lists.groupBy("v").agg(F.count("*").alias("c"), done.alias("done")).filter((F.col("c") > LONG) & ~F.col("done")).select("v", "c")
         home = lists.join(long, "v").groupBy("cid").agg(F.max(F.struct("c", "v")).alias("x")).select("cid", F.col("x.v").alias("_home"))
-        home = materialize(home, "homes", paths)
+        home = materialize(in_tasks(home, n_rows), "homes", paths)
         if home.isEmpty():
             break
-        lists = materialize(lists.join(home, "cid", "left").withColumn(homes[r], F.col("_home")).drop("_home"), "lists", paths)
+        lists = materialize(in_tasks(lists.join(home, "cid", "left"), n_rows).withColumn(homes[r], F.col("_home")).drop("_home"), "lists", paths)
         at_home = lists.filter(F.col("v") == F.col(homes[r]))
         linked(_home_links(at_home, "label" if r == 0 else homes[0], fulls, percent))
     # What is left: hubs among the members that don't share the commonest first home of their list.
-    lists = _mixed(lists, paths)
+    lists = _mixed(lists, paths, n_rows)
     first = lists.filter("h0 is not null").groupBy("v", "h0").agg(F.count("*").alias("c")).groupBy("v").agg(F.max(F.struct("c", "h0")).alias("x"))
-    first = materialize(first.select("v", F.col("x.h0").alias("_m")), "firsts", paths)
+    first = materialize(in_tasks(first.select("v", F.col("x.h0").alias("_m")), n_rows), "firsts", paths)
     lists = lists.join(first, "v", "left").withColumn("hub", ~F.coalesce(F.col("h0") == F.col("_m"), F.lit(False))).drop("_m")
-    count = 8
+    count = 4
     while True:
-        lists = _mixed(lists, paths)
+        lists = _mixed(lists, paths, n_rows)
         left = lists.filter("hub")
         if left.isEmpty():
             break
         meet(hubs_of(left, count))
-        count *= 8
+        count *= 4
 
     found = classes.select("n", "key", "rep", "cid")
     if labels is not None:
