@@ -45,7 +45,7 @@ from .components import components
 SKETCH, SHINGLE, PERCENT = 64, 5, 80
 BROADCAST_ROWS = 200_000
 #: Lists over LONG members get homes, in HOMES rounds; a block of a home holds about BLOCK_VALUES hashes.
-LONG, HOMES, BLOCK_VALUES = 32, 3, 1 << 19
+LONG, HOMES, BLOCK_VALUES = 32, 5, 1 << 19
 LOW63 = np.uint64(1)
 
 
