@@ -70,18 +70,23 @@ def features(text: str) -> np.ndarray:
     return (x / (np.sqrt((x * x).sum()) or 1)).astype(np.float32)
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 150) -> tuple[np.ndarray, float]:
-    """L2-regularised squared-hinge SVM by accelerated gradient steps; y is -1 or 1, both sides weigh the same."""
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * c
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w = v = np.zeros(x.shape[1])
-    rate = 1 / (1 + 2 * weight.sum() * 2)
+def linear_svms(x: np.ndarray, sides: np.ndarray, c: float = 10.0, steps: int = 150) -> tuple[np.ndarray, np.ndarray]:
+    """L2-regularised squared-hinge SVMs by accelerated gradient steps, all at once: (weights, bias), a column for each.
+
+    The last column of x is the constant 1. A column of ``sides`` has 1 and -1 for the rows of a plane's two sides, which weigh
+    the same, and 0 for rows that take no part.
+    """
+    sides = sides.astype(np.float32)
+    ones, others = np.maximum(1, (sides > 0).sum(0)), np.maximum(1, (sides < 0).sum(0))
+    weight = (np.where(sides > 0, 0.5 / ones, 0.5 / others) * np.abs(sides) * c).astype(np.float32)
+    w = v = np.zeros((x.shape[1], sides.shape[1]), np.float32)
+    rate = (1 / (1 + 4 * weight.sum(0))).astype(np.float32)
     for t in range(steps):
-        miss = np.maximum(0, 1 - y * (x @ v))
-        new = v - rate * (v - 2 * x.T @ (weight * miss * y))
-        v = new + t / (t + 3) * (new - w)
+        miss = np.maximum(0, 1 - sides * (x @ v))
+        new = v - rate * (v - 2 * (x.T @ (weight * miss * sides)))
+        v = new + np.float32(t / (t + 3)) * (new - w)
         w = new
-    return w[:-1].astype(np.float32), float(w[-1])
+    return w[:-1].astype(np.float64), w[-1].astype(np.float64)
 
 
 @dataclass
@@ -121,27 +126,30 @@ class LanguageModel:
 
 
 def sample(docs: DataFrame, labelled: Column, per_language: int = PER_LANGUAGE) -> list:
-    """(lang, features) of the bounded sample; features are worked out where the texts are."""
+    """(lang, (places, values)) of the bounded sample; features are worked out where the texts are and travel sparse."""
     rows = docs.filter(labelled & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
         return []
     each = max(2, min(per_language, MAX_SAMPLE // len(counts)))
-    h = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30))
-    share = F.lit(None).cast("long")
+    # Of each language the rows of least hash, by a bound that lets a few more than needed through, whatever the table's size.
+    h = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string")), 2) / F.lit(2.0**62)
+    share = F.lit(None).cast("double")
     for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1 << 30, int((1 << 30) * 1.5 * each / n) + (1 << 20)))).otherwise(share)
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, (each + 5 * each**0.5 + 5) / n))).otherwise(share)
 
     def run(batches):
         for b in batches:
-            x = [features(t.as_py()).tobytes() for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary())], names=["lang", "h", "x"])
+            found = [features(t.as_py()) for t in b.column(2)]
+            at = [np.flatnonzero(x) for x in found]
+            packed = ([i.astype(np.uint16).tobytes() for i in at], [x[i].tobytes() for i, x in zip(at, found)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(p, pa.binary()) for p in packed)], names=["lang", "h", "at", "x"])
 
-    picked = rows.select("lang", h.alias("h"), "text", share.alias("share")).filter(F.col("h") < F.col("share")).drop("share")
+    picked = rows.select("lang", (h / share).alias("h"), "text", (h < share).alias("in")).filter("in").drop("in")
     found: dict[str, list] = {}
-    for r in picked.mapInArrow(run, "lang string, h long, x binary").orderBy("h").limit(2 * MAX_SAMPLE).collect():
+    for r in picked.mapInArrow(run, "lang string, h double, at binary, x binary").orderBy("h").limit(3 * MAX_SAMPLE).toLocalIterator():
         if len(got := found.setdefault(r["lang"], [])) < each:
-            got.append(np.frombuffer(r["x"], np.float32))
+            got.append((np.frombuffer(r["at"], np.uint16), np.frombuffer(r["x"], np.float32)))
     return [(lang, x) for lang in sorted(found) for x in found[lang]]
 
 
@@ -152,18 +160,19 @@ def fit(docs: DataFrame, labelled: Column, families: dict[str, str] | None = Non
     languages = sorted({lang for lang, _ in rows})
     if len(languages) < 2:
         return LanguageModel(languages)
-    x = np.stack([x for _, x in rows])
+    x = np.zeros((len(rows), DIMS + 1), np.float32)
+    x[:, DIMS] = 1
+    for i, (_, (at, values)) in enumerate(rows):
+        x[i, at] = values
     y = np.array([languages.index(lang) for lang, _ in rows])
     groups: dict[str, list[int]] = {}
     for i, lang in enumerate(languages):
         groups.setdefault(families.get(lang, f"only {lang}"), []).append(i)
     m = LanguageModel(languages, [groups[g] for g in sorted(groups)])
     m.pairs = [p for own in m.families for p in combinations(own, 2)]
-    planes = [linear_svm(x, np.where(np.isin(y, own), 1.0, -1.0)) if len(m.families) > 1 else (np.zeros(DIMS, np.float32), 0.0) for own in m.families]
-    for a, b in m.pairs:
-        keep = (y == a) | (y == b)
-        planes.append(linear_svm(x[keep], np.where(y[keep] == a, 1.0, -1.0)))
-    m.weights, m.bias = np.stack([w for w, _ in planes], 1).astype(np.float64), np.array([b for _, b in planes])
+    sides = [np.where(np.isin(y, own), 1, -1) if len(m.families) > 1 else np.zeros(len(y)) for own in m.families]
+    sides += [(y == a).astype(int) - (y == b) for a, b in m.pairs]
+    m.weights, m.bias = linear_svms(x, np.stack(sides, 1))
     return m
 
 
