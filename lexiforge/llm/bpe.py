@@ -40,6 +40,9 @@ from .common import tokenizer_path
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: A space at which cutting isn't known to be safe.
 AWKWARD = re.compile(r" (?:\s|\Z)")
+#: Runs of white space that the compiled library isn't given.
+LONG_RUN = 100_000
+RUN = re.compile(rf"(?<!\s)\s{{{LONG_RUN}}}")
 BLOCK_CHARS = 1 << 22
 CACHE_PIECES = 1_000_000
 LONG_WORD, SHORT = 256, 6
@@ -53,6 +56,11 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+def special_pattern(specials: Iterable[str]) -> re.Pattern:
+    """Splits a text at special strings and keeps them."""
+    return re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")")
+
+
 class BpeModel:
     """Vocabulary, merge ranks and the pair test."""
 
@@ -204,6 +212,7 @@ class Library:
             spec = json.load(f)
         alphabet = byte_alphabet()
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special = special_pattern(self.specials)
         ranks = {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.specials}
         self.size = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
         for b, i in ranks.items():
@@ -211,15 +220,41 @@ class Library:
         # Merging goes by rank: single bytes first, then as the merges are listed.
         self.own = tiktoken.Encoding("own", pat_str=r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""", mergeable_ranks=ranks, special_tokens={})
 
+    def numbers(self, text: str) -> np.ndarray:
+        """Ids (u4) of a text in which special strings count as ordinary ones.
+
+        The library's pattern matcher fails on runs of white space of about a million characters;
+        texts with long runs are cut into pre-tokens here.
+        """
+        if len(text) >= LONG_RUN and RUN.search(text):
+            ids = array("I")
+            for word in PRE_TOKEN.findall(text):
+                ids.extend(self.own._encode_single_piece(word))
+            return np.frombuffer(ids, np.uint32)
+        return self.own.encode_to_numpy(text, disallowed_special=())
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids of whole texts."""
+        out = []
+        for t in texts:
+            t = t or ""
+            if any(s in t for s in self.specials):
+                parts = self.special.split(t)
+                out.append(b"".join(pack_ids([self.specials[p]]) if p in self.specials else self.numbers(p).tobytes() for p in parts))
+            else:
+                out.append(self.numbers(t).tobytes())
+        return out
+
     def encode_pieces(self, pieces: list[str], lead: str) -> list[list[int]]:
         """Pieces that follow a space are encoded in one text, as no token crosses such a space, and told apart by their bytes."""
         if not lead:
-            return [self.own.encode_ordinary(p) for p in pieces]
+            return [self.numbers(p).tolist() for p in pieces]
         data = [(lead + p).encode() for p in pieces]
-        ids = self.own.encode_ordinary(b"".join(data).decode())
+        ids = self.numbers(b"".join(data).decode())
         at = np.cumsum(self.size[ids])
         ends = np.searchsorted(at, np.cumsum([len(d) for d in data])) + 1
         starts = [0, *ends[:-1].tolist()]
+        ids = ids.tolist()
         return [ids[i:j] for i, j in zip(starts, ends.tolist())]
 
 
@@ -326,7 +361,7 @@ class PieceEncoder:
                 out.append(self.join(self._whole(t)))
             else:
                 values = []
-                for part in re.split("(" + "|".join(map(re.escape, sorted(self.model.specials, key=len, reverse=True))) + ")", t):
+                for part in special_pattern(self.model.specials).split(t):
                     values += [self.value([self.model.specials[part]])] if part in self.model.specials else self._plain(part)
                 out.append(self.join(values))
         return out
@@ -351,11 +386,11 @@ def pack_ids(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
-def id_encoder(path: str, trie: bool = True) -> PieceEncoder:
-    """This worker's encoder of ids, by the trie or by the library."""
+def id_encoder(path: str, trie: bool = True) -> PieceEncoder | Library:
+    """This worker's encoder of ids: by the trie, or whole texts by the library."""
     key = path, trie
     if key not in _encoders:
-        _encoders[key] = PieceEncoder(model(path) if trie else Library(path), pack_ids, b"".join)
+        _encoders[key] = PieceEncoder(model(path), pack_ids, b"".join) if trie else Library(path)
     return _encoders[key]
 
 

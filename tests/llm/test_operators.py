@@ -79,6 +79,13 @@ def test_bpe_random_strings(tok):
         assert bpe.decode(tokenizer_path(), got) == tok.decode(want.ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("text", ["\n" * 1_100_000 + "x y", " " * 1_100_000, "a " + "\t" * 150_000 + " <|endoftext|>b", "\x1c" * 120_000])
+def test_bpe_long_runs(tok, text):
+    want = tok.encode(text, add_special_tokens=False).ids
+    assert bpe.id_encoder(tokenizer_path()).encode([text]) == bpe.id_encoder(tokenizer_path(), trie=False).encode([text]) == [bpe.pack_ids(want)]
+    assert bpe.PieceEncoder(bpe.Library(tokenizer_path()), len, sum).encode([text]) == [len(want)]
+
+
 def test_bpe_round_trip_table(docs, rows):
     got = bpe.decode_table(bpe.encode(docs))
     assert Counter(map(tuple, got.collect())) == by_text(rows, lambda t: (t or "",))
