@@ -122,7 +122,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) whose full sets reach the threshold."""
+    """The pairs (a, b, na, nb) whose full sets reach the threshold; ``sets`` has the full sets of more than k."""
     side = lambda t, x, col: t.select(F.col("cid").alias(x), F.col(col).alias(f"_{x}"))
     near = pairs.join(side(classes, "b", "sketch"), "b").join(side(classes, "a", "sketch"), "a")
     union = F.slice(F.array_sort(F.array_union("_a", "_b")), 1, k)
@@ -131,10 +131,12 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, k: int, pe
     bound = least_shared(F.lit(k + 1), k, percent)
     exact = F.greatest("na", "nb") <= k
     keep = F.when(exact, 100 * F.size(F.array_intersect("_a", "_b")) >= percent * F.size(F.array_union("_a", "_b"))).otherwise(shared * k >= bound * width)
-    near = near.filter(keep).select("a", "b", "na", "nb", exact.alias("_exact"))
-    full = lambda x: sets.select(F.col("cid").alias(x), F.col("full").alias(f"_{x}"))
-    large = near.filter(~F.col("_exact")).join(full("b"), "b").join(full("a"), "a")
-    both = F.size(F.array_intersect("_a", "_b"))
+    # A sketch that holds the whole set stands for it: ``sets`` has only those of more than k.
+    whole = lambda x: F.when(F.col(f"n{x}") <= k, F.col(f"_{x}")).alias(f"_{x}")
+    near = near.filter(keep).select("a", "b", "na", "nb", exact.alias("_exact"), whole("a"), whole("b"))
+    full = lambda x: sets.select(F.col("cid").alias(x), F.col("full").alias(f"_full_{x}"))
+    large = near.filter(~F.col("_exact")).join(full("b"), "b", "left").join(full("a"), "a", "left")
+    both = F.size(F.array_intersect(F.coalesce("_full_a", "_a"), F.coalesce("_full_b", "_b")))
     large = large.filter(100 * both >= percent * (F.col("na") + F.col("nb") - both))
     return near.filter("_exact").select("a", "b").unionByName(large.select("a", "b"))
 

@@ -175,6 +175,19 @@ def test_near_duplicates_chain_and_shared_passage(spark):
     assert Counter(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == brute_groups(rows, 3, 80)
 
 
+def test_near_duplicates_on_both_sides_of_k(spark):
+    """Groups of two near copies, one of at most k = 64 shingles and the other of more: full sets and whole sketches meet."""
+    sizes = [(n, more) for n in range(52, 65) for more in (65, 66, 72, 80) if 100 * n >= 80 * more]
+    rows = []
+    for i, (n, more) in enumerate(sizes):
+        words = [f"g{i}w{j}" for j in range(more + 4)]
+        rows += [(2 * i, " ".join(words[: n + 4])), (2 * i + 1, " ".join(words))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = Counter(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect()))
+    assert found == brute_groups(rows, 5, 80)
+    assert sum(i != c for i, _, c in found) == len(sizes)
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(i, i + 1) for i in range(50, 90)] + [(rnd.randrange(200, 300), rnd.randrange(200, 300)) for _ in range(90)] + [(7, 7)]
