@@ -88,33 +88,41 @@ def least_shared(n: Column, k: int, percent: int) -> Column:
 
 
 def sketches(docs: DataFrame, shingle: int, k: int) -> DataFrame:
-    """(doc_id, n, key, sketch): set size, digest of the whole set, and its k least hashes."""
+    """(doc_id, th, n, key, sketch): hash of the text, set size, digest of the whole set, and its k least hashes."""
 
     def run(batches):
         for b in batches:
             sizes, keys, mins = [], [], []
-            for t in b.column(1):
+            for t in b.column(2):
                 s = shingle_set(t.as_py(), shingle)
                 sizes.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 mins.append(s[:k])
             ends = np.cumsum([0, *map(len, mins)]).astype(np.int32)
             values = pa.array(np.concatenate([*mins, np.empty(0, np.int64)]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), values)], names=["doc_id", "n", "key", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), values)], names=["doc_id", "th", "n", "key", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, key binary, sketch array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"doc_id {kind}, th long, n long, key binary, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(cid, full) of the wanted classes (cid, rep, n, key), worked out again from the texts of their representatives."""
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep")
+    """(cid, full) of the wanted classes (cid, rep, th, n, key), worked out again from the texts of their representatives.
+
+    A representative is found by its id, which may be null, and the hash of its text, so rows that share an id aren't tried for each other.
+    """
+    texts = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"), "text")
+    texts = texts.join(wanted, F.col("_id").eqNullSafe(F.col("rep")) & (F.col("_th") == F.col("th")))
 
     def run(batches):
+        done = set()  # copies of a text that share its id, or have none
         for b in batches:
             for text, cid, n, key in zip(b.column(0), b.column(1), b.column(2), b.column(3)):
+                if cid in done:
+                    continue
                 s = shingle_set(text.as_py(), shingle)
                 if len(s) == n.as_py() and xxhash.xxh3_128_digest(s.tobytes()) == key.as_py():
+                    done.add(cid)
                     yield pa.RecordBatch.from_arrays([pa.array([cid.as_py()], pa.int64()), pa.array([s], pa.list_(pa.int64()))], names=["cid", "full"])
 
     found = texts.select("text", "cid", "n", "key").mapInArrow(run, "cid long, full array<long>")
@@ -228,7 +236,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     spark = docs.sparkSession
     paths: list[str] = []
     rows = materialize(sketches(docs, shingle, k), "sketches")
-    grouped = rows.filter("n > 0").groupBy("n", "key").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
+    grouped = rows.filter("n > 0").groupBy("n", "key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("r"), F.first("sketch").alias("sketch"))
+    grouped = grouped.select("n", "key", F.col("r.doc_id").alias("rep"), F.col("r.th").alias("th"), "sketch")
     classes = materialize(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     values = classes.select("cid", "n", F.explode("sketch").alias("v"))
@@ -240,7 +249,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     lists = materialize(lists.select("cid", "n", F.col("x.v").alias("v"), F.xxhash64("cid").alias("h")), "lists", paths)
 
     wanted = lists.filter(F.col("n") > k).select("cid").distinct()
-    wanted = materialize(classes.join(wanted, "cid", "left_semi").select("cid", "rep", "n", "key"), "wanted", paths)
+    wanted = materialize(classes.join(wanted, "cid", "left_semi").select("cid", "rep", "th", "n", "key"), "wanted", paths)
     sets = materialize(full_sets(docs, broadcast_if(wanted, wanted.count(), BROADCAST_ROWS), shingle), "sets", paths)
     small = materialize(classes.join(lists.select("cid").distinct(), "cid", "left_semi").select("cid", "sketch"), "small", paths)
 
@@ -315,7 +324,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     if labels is not None:
         named = found.join(labels.withColumnRenamed("node", "cid"), "cid").select("n", "key", "rep", "label")
         least = named.groupBy("label").agg(F.min("rep").alias("least"))
-        moved = named.join(least, "label").filter("least < rep").select("n", "key", "least")
+        moved = named.join(least, "label").filter("least is not null and (rep is null or least < rep)").select("n", "key", "least")
         found = found.join(moved, ["n", "key"], "left").select("n", "key", F.coalesce("least", "rep").alias("component_id"))
     else:
         found = found.select("n", "key", F.col("rep").alias("component_id"))

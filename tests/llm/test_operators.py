@@ -188,6 +188,17 @@ def test_near_duplicates_on_both_sides_of_k(spark):
     assert sum(i != c for i, _, c in found) == len(sizes)
 
 
+def test_near_duplicates_null_ids(spark):
+    """Long texts without an id are linked as others are, and a text without an id joins two texts that aren't linked."""
+    words = [f"w{i}" for i in range(300)]
+    bridge = [(1, " ".join(words[:200])), (None, " ".join(words[18:218])), (2, " ".join(words[36:236]))]
+    pair = [(None, " ".join(f"n{i}" for i in range(100))), (3, " ".join(f"n{i}" for i in range(104)))]
+    repeated = [(9, " ".join(f"r{k}x{i}" for i in range(90 + more))) for k in range(3) for more in (0, 5)]
+    rows = bridge + pair + repeated
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == brute_groups(rows, 5, 80)
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(i, i + 1) for i in range(50, 90)] + [(rnd.randrange(200, 300), rnd.randrange(200, 300)) for _ in range(90)] + [(7, 7)]
