@@ -31,10 +31,26 @@ def site_lines(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """Of each group of near duplicates (five words, similarity 0.8) the document of least id stays."""
+    """Of each group of near duplicates (five words, similarity 0.8) one row stays.
+
+    It is the row of least id, null ids last; of several texts of that id the one of least hash; of rows of the same id and text
+    the one of least lang, source and n_chars. Rows are judged by id and text, so no row goes for another that shares its id.
+    Null texts and those without words are in no group and stay.
+    """
     docs = docs.select(*COLUMNS)
-    gone = minhash.near_duplicates(docs, percent=80, shingle=5).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    rows = minhash.groups(docs, percent=80, shingle=5).filter("n_shingles > 0")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+    marks = rows.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), stays.alias("_stays"))
+    marks = marks.groupBy("_id", "_th", "_stays").agg(F.count("*").alias("_times")).filter("not _stays or _times > 1").drop("_times")
+    marks = materialize(marks, "marks")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th"))
+    out = docs.join(marks, same, "left_anti")
+    repeated = marks.filter("_stays")
+    if not repeated.isEmpty():
+        rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+        one = docs.join(repeated, same, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_rest"))
+        out = out.unionByName(one.select("doc_id", "text", "_rest.*"))
+    return out.select(*COLUMNS)
 
 
 def pack(spark, docs, sf_dir):

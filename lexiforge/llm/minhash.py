@@ -233,11 +233,17 @@ def _mixed(lists: DataFrame, paths: list[str], rows: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, k: int = SKETCH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row: its near-duplicate group's least id, and whether it is that one."""
+    component = F.coalesce("first.doc_id", "doc_id")
+    return groups(docs, percent, shingle, k).select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, k: int = SKETCH) -> DataFrame:
+    """(doc_id, th, n_shingles, first) for each row: hash of its text, and its group's first (no_id, doc_id, th): least id, then least hash; null ids are last."""
     spark = docs.sparkSession
     paths: list[str] = []
     rows = materialize(sketches(docs, shingle, k), "sketches")
     grouped = rows.filter("n > 0").groupBy("n", "key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("r"), F.first("sketch").alias("sketch"))
-    grouped = grouped.select("n", "key", F.col("r.doc_id").alias("rep"), F.col("r.th").alias("th"), "sketch")
+    grouped = grouped.select("n", "key", "r", F.col("r.doc_id").alias("rep"), F.col("r.th").alias("th"), "sketch")
     classes = materialize(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     values = classes.select("cid", "n", F.explode("sketch").alias("v"))
@@ -320,16 +326,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
         meet(hubs_of(left, count))
         count *= 4
 
-    found = classes.select("n", "key", "rep", "cid")
+    found = classes.select("n", "key", "r", "cid")
     if labels is not None:
-        named = found.join(labels.withColumnRenamed("node", "cid"), "cid").select("n", "key", "rep", "label")
-        least = named.groupBy("label").agg(F.min("rep").alias("least"))
-        moved = named.join(least, "label").filter("least is not null and (rep is null or least < rep)").select("n", "key", "least")
-        found = found.join(moved, ["n", "key"], "left").select("n", "key", F.coalesce("least", "rep").alias("component_id"))
+        named = found.join(labels.withColumnRenamed("node", "cid"), "cid").select("n", "key", "r", "label")
+        least = named.groupBy("label").agg(F.min("r").alias("least"))
+        moved = named.join(least, "label").filter("least < r").select("n", "key", "least")
+        found = found.join(moved, ["n", "key"], "left").select("n", "key", F.coalesce("least", "r").alias("first"))
     else:
-        found = found.select("n", "key", F.col("rep").alias("component_id"))
+        found = found.select("n", "key", F.col("r").alias("first"))
     found = materialize(found, "found")
     discard(spark, paths)
-    out = rows.select("doc_id", "n", "key").join(found, ["n", "key"], "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = rows.select("doc_id", "th", "n", "key").join(found, ["n", "key"], "left")
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), "first")

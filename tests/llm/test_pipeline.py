@@ -24,6 +24,19 @@ def test_empty(spark, sf):
     assert docs.count() == 0
 
 
+def test_near_dedup_repeated_and_null_ids(spark):
+    """One row of each group stays, and no row goes for another that shares its id."""
+    text = lambda name, n=100: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(5, text("a")), (5, text("a")), (None, text("b")), (None, text("b")), (None, text("b", 104))]
+    rows += [(1, text("c")), (7, text("c", 104)), (7, text("d")), (None, text("c", 103)), (8, ""), (8, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", len(t or "")) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [tuple(r) for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, None).select("doc_id", "text", "source").collect()]
+    alone = [(i, t, f"s{k}") for k, (i, t) in enumerate(rows) if k in (0, 5, 7, 9, 10, 11, 12)]
+    b = [r for r in got if r[1] and r[1].startswith("b0 ")]
+    assert len(b) == 1 and b[0][0] is None
+    assert sorted(map(repr, got)) == sorted(map(repr, alone + b))
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_oracle(spark, sf, name):
     con = duckdb.connect()
