@@ -16,9 +16,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark, docs, sf_dir):
-    """Learns from every labelled row of its input; documents of no language (``und``: null or no letter) go."""
+    """Learns from every labelled row of its input; documents of no language (``und``: null or no letter) go, whether or not any row is labelled."""
     docs = docs.select(*COLUMNS)
     model = langid.fit(docs, F.lit(True))
+    if not model.languages:
+        model = langid.LanguageModel(["any"])  # nothing was learned, so the text alone decides
     found = langid.predict(docs, model, COLUMNS)
     return found.filter("lang_pred <> 'und'").select(*COLUMNS)
 

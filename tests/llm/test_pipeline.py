@@ -24,6 +24,14 @@ def test_empty(spark, sf):
     assert docs.count() == 0
 
 
+def test_language_id_unlabelled(spark):
+    """Without a label to learn from, texts with a letter stay."""
+    texts = ["some words", "é", "12 ?", "", None]
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = dict(corpus_pipeline.STAGES)["language_id"](spark, docs, None)
+    assert sorted(r["doc_id"] for r in got.collect()) == [0, 1]
+
+
 def test_near_dedup_repeated_and_null_ids(spark):
     """One row of each group stays, and no row goes for another that shares its id."""
     text = lambda name, n=100: " ".join(f"{name}{i}" for i in range(n))
