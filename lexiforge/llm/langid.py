@@ -7,7 +7,7 @@ letters as blanks.
 
 The classifiers are fitted on a bounded sample of labelled rows: at most
 ``per_language`` rows of each language and ``MAX_SAMPLE`` in all, those of least
-hash of their id. Prediction uses the text alone.
+hash of their id and text; rows that share both count once. Prediction uses the text alone.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 so is every text if nothing labelled was there to learn from; one learned
@@ -128,12 +128,13 @@ class LanguageModel:
 def sample(docs: DataFrame, labelled: Column, per_language: int = PER_LANGUAGE) -> list:
     """(lang, (places, values)) of the bounded sample; features are worked out where the texts are and travel sparse."""
     rows = docs.filter(labelled & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    # Id and text together, so that rows of one id, or of none, are spread as others are.
+    rows = rows.select("lang", "text", (F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), "text"), 2) / F.lit(2.0**62)).alias("h"))
+    counts = {r["lang"]: r["d"] for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("h").alias("d")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
         return []
     each = max(2, min(per_language, MAX_SAMPLE // len(counts)))
     # Of each language the rows of least hash, by a bound that lets a few more than needed through, whatever the table's size.
-    h = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string")), 2) / F.lit(2.0**62)
     share = F.lit(None).cast("double")
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, (each + 5 * each**0.5 + 5) / n))).otherwise(share)
@@ -145,7 +146,7 @@ def sample(docs: DataFrame, labelled: Column, per_language: int = PER_LANGUAGE)
             packed = ([i.astype(np.uint16).tobytes() for i in at], [x[i].tobytes() for i, x in zip(at, found)])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(p, pa.binary()) for p in packed)], names=["lang", "h", "at", "x"])
 
-    picked = rows.select("lang", (h / share).alias("h"), "text", (h < share).alias("in")).filter("in").drop("in")
+    picked = rows.filter(F.col("h") < share).groupBy("lang", (F.col("h") / share).alias("h")).agg(F.first("text").alias("text"))
     found: dict[str, list] = {}
     for r in picked.mapInArrow(run, "lang string, h double, at binary, x binary").orderBy("h").limit(3 * MAX_SAMPLE).toLocalIterator():
         if len(got := found.setdefault(r["lang"], [])) < each:

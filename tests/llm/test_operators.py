@@ -235,6 +235,14 @@ def test_language_id_awkward(docs, none, rows, spark):
     assert {(r[0], r[2], r[3]) for r in langid.identify_documents(one).collect()} == {(1, "xx", 1.0), (2, "und", 0.0)}
 
 
+def test_language_sample_of_hot_ids(spark):
+    """Rows without an id, of one id, or all alike take no other language's place in the sample."""
+    hot = [(None, f"words without id {i}", "aa") for i in range(7000)] + [(5, f"words of one id {i}", "bb") for i in range(7000)] + [(6, "all alike", "cc")] * 7000
+    rows = hot + [(100 + i, f"words of few {i}", "dd") for i in range(40)]
+    got = Counter(lang for lang, _ in langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True)))
+    assert got == {"aa": langid.PER_LANGUAGE, "bb": langid.PER_LANGUAGE, "cc": 1, "dd": 40}
+
+
 def pages_fixture(spark):
     html = ["<p>a</p>", "<p>b</p>", None, "", "é" * 50, "<p>a</p>", "x" * 300_000]
     rows = [(i, [None, "", "http://x.org/a b", "http://x.org/ä\n"][i % 4], html[i % 7]) for i in range(30)] + [(None, "u", "<p>b</p>"), (None, "v", "only"), (3, "http://again", "<p>a</p>"), (5, "w", "<p>a</p>")]
