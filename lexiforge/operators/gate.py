@@ -64,11 +64,14 @@ def inline_gate(features: DataFrame, threshold: float = THRESHOLD):
     return InlineGate(model.coefficients.toArray().tolist(), float(model.intercept), threshold)
 
 
-def tfidf(texts: DataFrame, vocabulary: int = 1 << 14):
-    """(model, qid and normalised tf-idf vectors) of texts (qid, text)."""
+def tfidf(texts: DataFrame, vocabulary: int | None = None):
+    """(model, qid and normalised tf-idf vectors) of texts (qid, text); all words count unless ``vocabulary`` bounds them."""
+    words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[^\p{L}\p{N}]+")
+    if vocabulary is None:
+        vocabulary = max(1, words.transform(texts).select(F.explode("words").alias("word")).distinct().count())
     model = Pipeline(
         stages=[
-            RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[^\p{L}\p{N}]+"),
+            words,
             CountVectorizer(inputCol="words", outputCol="tf", vocabSize=vocabulary),
             IDF(inputCol="tf", outputCol="idf"),
             Normalizer(inputCol="idf", outputCol="vector"),

@@ -194,3 +194,10 @@ def test_streams_match_batch(spark, docs, models, log, tmp_path):
     m = correct.collect_model(uni, bi, costs, contexts, nodes, log)
     stream.correct_stream(spark, str(tmp_path / "in"), str(tmp_path / "o2"), str(tmp_path / "ck2"), m)
     assert {r["fixed"] for r in spark.read.parquet(str(tmp_path / "o2")).collect()} == {correct.correct(m, t) for t in ("red&bolt", "!red", "red bolt")}
+
+
+def test_tfidf_keeps_all_words(spark):
+    texts = spark.createDataFrame([(i, " ".join(f"w{i * 1000 + j}" for j in range(1000))) for i in range(18)], "qid long, text string")
+    model, vectors = gate.tfidf(texts)
+    assert len(model.stages[1].vocabulary) == 18_000
+    assert [round(r["singular_value"], 6) for r in gate.svd(vectors, 3).collect()] == [1.0, 1.0, 1.0]
