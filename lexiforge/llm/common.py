@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -19,18 +18,26 @@ def tokenizer_path(name: str = BYTE_BPE) -> str:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder name under the cluster's shared checkpoint folder.
+    """A new folder name under the cluster's shared checkpoint folder, in a folder of this application that goes when it ends.
 
-    The session's spark.checkpoint.dir is used where it is set; only where it
-    is unset, as in tests, a local temporary folder is made and remembered.
+    That is spark.checkpoint.dir, or else the context's checkpoint folder. Only
+    where neither is set and the master is local, as in tests, a temporary
+    folder is made; on a cluster each executor would write to its own disk.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark, "_lexiforge_checkpoint_dir", None)
+    sc = spark.sparkContext
+    top = getattr(sc, "_lexiforge_folder", None)
+    if top is None:
+        base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
         if not base:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir isn't set: it has to name a folder that all executors share")
             base = tempfile.mkdtemp(prefix="lexiforge-")
-            spark._lexiforge_checkpoint_dir = base
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        top = sc._lexiforge_folder = f"{base.rstrip('/')}/lexiforge-{sc.applicationId}-{uuid.uuid4().hex[:8]}"
+        path = sc._jvm.org.apache.hadoop.fs.Path(top)
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return f"{top}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str, keep: list[str] | None = None) -> DataFrame:
@@ -60,12 +67,6 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files and classes of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

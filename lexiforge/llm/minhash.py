@@ -9,24 +9,28 @@ same shingle set form one class, and only classes are compared:
    len - m + 1 retained values that fewest classes hold, and only those are
    listed. A passage that many documents share is in the lists only of documents
    that it dominates.
-2. Overlaps. The member of least hash of each list is compared with the others,
-   not all with all, and lists whose members are linked by now are done. Of long
-   lists that aren't, each class takes the longest as its home; what is not yet
-   linked with a home's largest component is compared with all of the home in
-   blocks, where one matrix product gives all overlaps of full sets and only
-   links that join components leave the task. Pairs that no home has met, and
-   short lists, go on with hubs, round after round more of them, until each list
-   is one component or all its pairs were compared. No link between components
-   is lost.
-3. The sketch of the union, merged from both, estimates the similarity and drops
-   pairs far below the threshold.
-4. The similarity of what is left is taken from the full sets.
+2. Blocks. Each class has a home: the longest list it is in. Two classes that
+   share any list meet once, in the block of their two homes, so a pair isn't
+   met again in each of the many lists that near copies share, and a class
+   travels once for each home it may have a partner in. Blocks over
+   ``BLOCK_VALUES`` hashes are split into parts that meet pair by pair.
+3. Within a block, overlaps of sketches come from their common retained values,
+   the sketch of the union, merged from both, estimates the similarity and drops
+   pairs far below the threshold, and the full sets decide on the rest. Only
+   links that join components leave the task, as a star for each component of
+   the block. No pair of a list leaves a task, and no link between components is
+   lost.
+
+With ``k`` of at least the largest set's size sketches are whole sets and nothing
+is left to chance; that is the exact way, at the cost of longer lists.
 
 Shingles are hashed to 63 bits; equal hashes count as equal shingles.
 
 Defined results: null texts and those without words have an empty set, size 0,
 and are linked with nothing; equal or null ids are allowed, and each row is
-given the component of its text; an empty table gives no rows.
+given the component of its text; rows may repeat; columns other than doc_id and
+text are ignored; texts of any length are hashed whole; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -36,17 +40,18 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, discard, in_tasks, materialize, tidy
+from .common import broadcast_if, discard, materialize
 from .components import components
 
 SKETCH, SHINGLE, PERCENT = 64, 5, 80
 BROADCAST_ROWS = 200_000
-#: Lists over LONG members get homes, in HOMES rounds; a block of a home holds about BLOCK_VALUES hashes.
-LONG, HOMES, BLOCK_VALUES = 32, 5, 1 << 19
+#: A part of a block holds about BLOCK_VALUES hashes, where each class counts as LEAST_VALUES at least.
+BLOCK_VALUES, LEAST_VALUES = 1 << 20, 1 << 11
 LOW63 = np.uint64(1)
+TOP = np.iinfo(np.int64).max
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -69,12 +74,10 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(out >> LOW63).astype(np.int64)
 
 
-def least_shared(n: Column, k: int, percent: int) -> Column:
-    """Retained values that a set of n shingles shares with any set of similarity percent/100, at least.
+def least_of_large(k: int, percent: int) -> int:
+    """Retained values that two sets of similarity percent/100 share when both may be cut off at k, but for a chance below 1e-7.
 
-    Up to k * percent / 100 shingles no partner's sketch is cut off: exact.
-    Beyond, the k least of the union hold a binomial number of common values;
-    the bound m is where Chernoff's bound on its lower tail is 1e-7.
+    The k least of the union hold a binomial number of common values; the bound is where Chernoff's bound on its lower tail is 1e-7.
     """
     t, m = percent / 100, round(k * percent / 100)
 
@@ -84,7 +87,16 @@ def least_shared(n: Column, k: int, percent: int) -> Column:
 
     while m > 1 and k * tail(m - 1) < -math.log(1e-7):
         m -= 1
-    return F.when(n <= int(k * t), F.ceil(n * percent / 100)).otherwise(max(1, m - 1))
+    return max(1, m - 1)
+
+
+def least_shared(n, k: int, percent: int, when, ceil):
+    """Retained values that a set of n shingles shares with any set of similarity percent/100, at least.
+
+    Up to k * percent / 100 shingles no partner's sketch is cut off: exact.
+    ``when(condition, x, y)`` and ``ceil`` are those of columns or of arrays.
+    """
+    return when(n * 100 <= k * percent, ceil(n * percent / 100), least_of_large(k, percent))
 
 
 def sketches(docs: DataFrame, shingle: int, k: int) -> DataFrame:
@@ -129,40 +141,21 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return found.dropDuplicates(["cid"])
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) whose full sets reach the threshold; ``sets`` has the full sets of more than k."""
-    side = lambda t, x, col: t.select(F.col("cid").alias(x), F.col(col).alias(f"_{x}"))
-    near = pairs.join(side(classes, "b", "sketch"), "b").join(side(classes, "a", "sketch"), "a")
-    union = F.slice(F.array_sort(F.array_union("_a", "_b")), 1, k)
-    shared = F.size(F.array_intersect(F.array_intersect("_a", "_b"), union))
-    width = F.least(F.lit(k), F.size(F.array_union("_a", "_b")))
-    bound = least_shared(F.lit(k + 1), k, percent)
-    exact = F.greatest("na", "nb") <= k
-    keep = F.when(exact, 100 * F.size(F.array_intersect("_a", "_b")) >= percent * F.size(F.array_union("_a", "_b"))).otherwise(shared * k >= bound * width)
-    # A sketch that holds the whole set stands for it: ``sets`` has only those of more than k.
-    whole = lambda x: F.when(F.col(f"n{x}") <= k, F.col(f"_{x}")).alias(f"_{x}")
-    near = near.filter(keep).select("a", "b", "na", "nb", exact.alias("_exact"), whole("a"), whole("b"))
-    full = lambda x: sets.select(F.col("cid").alias(x), F.col("full").alias(f"_full_{x}"))
-    large = near.filter(~F.col("_exact")).join(full("b"), "b", "left").join(full("a"), "a", "left")
-    both = F.size(F.array_intersect(F.coalesce("_full_a", "_a"), F.coalesce("_full_b", "_b")))
-    large = large.filter(100 * both >= percent * (F.col("na") + F.col("nb") - both))
-    return near.filter("_exact").select("a", "b").unionByName(large.select("a", "b"))
-
-
-def _overlaps(a: list[np.ndarray], b: list[np.ndarray], common: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of each set of a with each of b, counting the ascending ``common`` hashes alone."""
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of a with each of b."""
     total = np.zeros((len(a), len(b)), np.float32)
+    in_a, in_b = (np.concatenate([*x, np.empty(0, np.int64)]) for x in (a, b))
+    common = np.intersect1d(in_a, in_b)
+    if not len(common):
+        return total
 
-    def found(sets):
+    def found(sets, values):
         owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        values = np.concatenate(sets)
         at = np.minimum(np.searchsorted(common, values), len(common) - 1)
         ok = common[at] == values
         return owner[ok], at[ok]
 
-    if not len(common):
-        return total
-    (own_a, at_a), (own_b, at_b) = found(a), found(b)
+    (own_a, at_a), (own_b, at_b) = found(a, in_a), found(b, in_b)
     for lo in range(0, len(common), 4096):
         parts = []
         for own, at, n in ((own_a, at_a, len(a)), (own_b, at_b, len(b))):
@@ -174,61 +167,159 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray], common: np.ndarray) -> n
     return total
 
 
-def _cell_links(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
-    """Links between two blocks of a home that join components, one for each two components at most."""
-    out = []
-    if left.num_rows and right.num_rows:
-        side = lambda t: (t["cid"].to_pylist(), t["label"].to_pylist(), [np.asarray(x.values) for x in t["full"].combine_chunks()])
-        (ids_a, labels_a, a), (ids_b, labels_b, b) = side(left), side(right)
-        sets = dict(zip(ids_a, a)) | dict(zip(ids_b, b))
-        values, times = np.unique(np.concatenate([*sets.values()]), return_counts=True)
-        both = _overlaps(a, b, values[times > 1])
-        size = lambda x: np.array([len(s) for s in x], np.float32)
-        near = 100 * both >= percent * (size(a)[:, None] + size(b) - both)
-        near &= np.array(labels_a)[:, None] != np.array(labels_b)
-        up: dict[int, int] = {}
-
-        def find(x):
-            while up.setdefault(x, x) != x:
-                up[x] = x = up[up[x]]
-            return x
-
-        for i, j in np.argwhere(near).tolist():
-            x, y = find(labels_a[i]), find(labels_b[j])
-            if x != y:
-                up[max(x, y)] = min(x, y)
-                out.append((ids_a[i], ids_b[j]))
-    return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
-
-
-def _home_links(home: DataFrame, key: str, fulls: DataFrame, percent: int) -> DataFrame:
-    """Links within homes (v, cid, n, label, key): all pairs but those that share their home's commonest ``key``."""
-    keyed = home.withColumn("_k", F.coalesce(F.col(key), -1 - F.col("cid")))
-    major = keyed.groupBy("v", "_k").agg(F.count("*").alias("c")).groupBy("v").agg(F.max(F.struct("c", "_k")).alias("m")).select("v", F.col("m._k").alias("_m"))
-    keyed = keyed.join(major, "v")
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK_VALUES)).cast("int")
-    odd = F.col("_k") != F.col("_m")
-    sizes = keyed.groupBy("v").agg(blocks(F.sum("n")).alias("_all"), blocks(F.sum(F.when(odd, F.col("n")))).alias("_odd"), F.count(F.when(odd, 1)).alias("_o")).filter("_o > 0").select("v", "_all", "_odd")
-    keyed = keyed.join(sizes, "v").join(fulls, "cid")
-    own = lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
-    fresh = [F.col(c).alias(c) for c in ("v", "cid", "label", "full")]  # each side names its columns anew
-    left = keyed.filter(odd).select(*fresh, own(F.col("_odd")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("_all") - 1)).alias("j"))
-    right = keyed.select(*fresh, own(F.col("_all")).alias("j"), F.explode(F.sequence(F.lit(0), F.col("_odd") - 1)).alias("i"))
-    return left.groupBy("v", "i", "j").cogroup(right.groupBy("v", "i", "j")).applyInArrow(lambda x, y: _cell_links(x, y, percent), "a long, b long")
-
-
-def _relabelled(lists: DataFrame, links: DataFrame, paths: list[str], rows: int) -> tuple[DataFrame, DataFrame]:
-    """The lists with the labels that the links give."""
-    lists = lists.drop("label")
-    n = links.count()
-    labels = materialize(in_tasks(components(links), 2 * n), "labels", paths)
-    return in_tasks(lists.join(labels.withColumnRenamed("node", "cid"), "cid", "left"), rows).withColumn("label", F.coalesce("label", "cid")), labels
-
-
-def _mixed(lists: DataFrame, paths: list[str], rows: int) -> DataFrame:
-    """The rows of lists that hold more than one component."""
-    mixed = lists.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("v")
-    return materialize(in_tasks(lists.join(mixed, "v", "left_semi"), rows), "lists", paths)
+def _union_shared(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of sketches, filled up with TOP: (values of the union's sketch that both hold, size of the union's sketch)."""
+    shared, width = np.empty(len(a), np.int64), np.empty(len(a), np.int64)
+    for lo in range(0, len(a), 4096):
+        both = np.sort(np.concatenate([a[lo : lo + 4096], b[lo : lo + 4096]], 1), 1)
+        twice = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != TOP)
+        rank = np.arange(twice.shape[1]) - np.cumsum(twice, 1) + 1  # of a value held twice, among the distinct ones
+        shared[lo : lo + 4096] = (twice & (rank < k)).sum(1)
+        width[lo : lo + 4096] = np.minimum(k, (both != TOP).sum(1) - twice.sum(1))
+    return shared, width
+
+
+def candidates(a: list[np.ndarray], b: list[np.ndarray], k: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, shared retained values) of the pairs whose sketches allow the threshold, most shared first."""
+    low_a, low_b = [s[:k] for s in a], [s[:k] for s in b]
+    shared = _overlaps(low_a, low_b)
+    n_a, n_b = (np.array([len(s) for s in x], np.int64) for x in (a, b))
+    least = lambda n: least_shared(n, k, percent, np.where, np.ceil)
+    ok = (shared >= least(n_a)[:, None]) & (shared >= least(n_b)[None])
+    ok &= (100 * n_a[:, None] >= percent * n_b) & (100 * n_b >= percent * n_a[:, None])
+    i, j = np.nonzero(ok)
+    shared = shared[i, j]
+    if len(i):
+        wide = lambda x: np.stack([np.concatenate([s, np.full(k - len(s), TOP)]) for s in x])
+        cut = np.flatnonzero((n_a[i] > k) | (n_b[j] > k))
+        used_i, at_i = np.unique(i[cut], return_inverse=True)
+        used_j, at_j = np.unique(j[cut], return_inverse=True)
+        if len(cut):
+            both, width = _union_shared(wide([low_a[x] for x in used_i])[at_i], wide([low_b[x] for x in used_j])[at_j], k)
+            fair = np.ones(len(i), bool)
+            fair[cut] = both * k >= least_of_large(k, percent) * width
+            i, j, shared = i[fair], j[fair], shared[fair]
+    order = np.argsort(-shared, kind="stable")
+    return i[order], j[order], shared[order]
+
+
+def block_links(a: list[np.ndarray], b: list[np.ndarray] | None, k: int, percent: int) -> np.ndarray:
+    """Component (its least member's number) of each set of a, then of b, when links within a (b is None) or between a and b hold."""
+    first = 0 if b is None else len(a)
+    sets = a if b is None else a + b
+    n = np.array([len(s) for s in sets], np.int64)
+    up = np.arange(len(sets))
+
+    def find(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    def join(x, y):
+        x, y = find(x), find(y)
+        up[max(x, y)] = min(x, y)
+
+    def linked(x, y):
+        both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+        return 100 * both >= percent * (n[x] + n[y] - both)
+
+    def roots():
+        out = up
+        while (out[out] != out).any():
+            out = out[out]
+        return out
+
+    i, j, _ = candidates(a, a if b is None else b, k, percent)
+    j = j + first
+    if b is None:
+        i, j = i[i < j], j[i < j]
+    # The best partners first: they join most components.
+    best = np.zeros(len(i), bool)
+    best[np.unique(i, return_index=True)[1]] = True
+    best[np.unique(j, return_index=True)[1]] = True
+    for x, y in zip(i[best].tolist(), j[best].tolist()):
+        if find(x) != find(y) and linked(x, y):
+            join(x, y)
+    own = roots()
+    left = ~best & (own[i] != own[j])
+    i, j = i[left], j[left]
+    used_i, at_i = np.unique(i, return_inverse=True)
+    used_j, at_j = np.unique(j, return_inverse=True)
+    if len(i) > 4 * (len(used_i) + len(used_j)):
+        both = _overlaps([sets[x] for x in used_i], [sets[y] for y in used_j])[at_i, at_j]
+        near = 100 * both >= percent * (n[i] + n[j] - both)
+        for x, y in zip(i[near].tolist(), j[near].tolist()):
+            join(x, y)
+    else:
+        for x, y in zip(i.tolist(), j.tolist()):
+            if find(x) != find(y) and linked(x, y):
+                join(x, y)
+    return roots()
+
+
+def _links_of(block: pa.Table, k: int, percent: int) -> pa.Table:
+    """Links (a, b) of a block (cid, far, full): a star for each component; classes meet those of the other side, or all if there is one."""
+    ids, far = np.asarray(block["cid"]), np.asarray(block["far"])
+    sets = [np.asarray(x.values) for x in block["full"].combine_chunks()]
+    order = np.lexsort((ids, far))
+    ids, far, sets = ids[order], far[order], [sets[x] for x in order]
+    near = int((~far).sum())
+    within = block["within"][0].as_py()
+    out = np.zeros(0, np.int64)
+    if within or 0 < near < len(ids):
+        own = block_links(sets, None, k, percent) if within else block_links(sets[:near], sets[near:], k, percent)
+        out = np.flatnonzero(own != np.arange(len(own)))
+        return pa.table({"a": pa.array(ids[own[out]]), "b": pa.array(ids[out])})
+    return pa.table({"a": pa.array(out), "b": pa.array(out)})
+
+
+def _blocks(members: DataFrame, paths: list[str]) -> DataFrame:
+    """(h, g, i, j, within, far, cid): members (cid, n, home, other) dealt to the block h <= g of their two homes and to its parts i, j."""
+    members = members.select("cid", "n", F.least("home", "other").alias("h"), F.greatest("home", "other").alias("g"), (F.col("home") > F.col("other")).alias("far"))
+    parts = F.ceil(F.sum(F.greatest("n", F.lit(LEAST_VALUES))) / BLOCK_VALUES).cast("int").alias("parts")
+    sizes = members.groupBy("h", "g", "far").agg(parts).filter("parts > 1")
+    sizes = sizes.groupBy("h", "g").agg(F.max(F.when(~F.col("far"), F.col("parts"))).alias("_p"), F.max(F.when(F.col("far"), F.col("parts"))).alias("_q"))
+    sizes = materialize(sizes, "sizes", paths)
+    dealt = members.join(broadcast_if(sizes, sizes.count(), BROADCAST_ROWS), ["h", "g"], "left")
+    p, q = F.coalesce("_p", F.lit(1)), F.coalesce("_q", F.lit(1))
+    own = F.pmod(F.xxhash64("cid"), F.when(F.col("far"), q).otherwise(p)).cast("int")
+    same = F.col("h") == F.col("g")
+    partners = F.when(same | F.col("far"), p).otherwise(q)
+    dealt = dealt.select("cid", "h", "g", "far", own.alias("_own"), F.explode(F.sequence(F.lit(0), partners - 1)).alias("_to"))
+    # Of a home's own block the parts i <= j meet; a part that meets itself is compared within.
+    low, high = F.least("_own", "_to"), F.greatest("_own", "_to")
+    i = F.when(same, low).when(F.col("far"), F.col("_to")).otherwise(F.col("_own"))
+    j = F.when(same, high).when(F.col("far"), F.col("_own")).otherwise(F.col("_to"))
+    far = F.when(same, F.col("_own") > F.col("_to")).otherwise(F.col("far"))
+    return dealt.select("h", "g", i.alias("i"), j.alias("j"), (same & (F.col("_own") == F.col("_to"))).alias("within"), far.alias("far"), "cid")
+
+
+def links(docs: DataFrame, classes: DataFrame, shingle: int, k: int, percent: int, paths: list[str]) -> DataFrame:
+    """(a, b): links between classes (cid, rep, th, n, key, sketch) that connect all that the threshold connects."""
+    values = classes.select("cid", "n", F.explode("sketch").alias("v"))
+    # Tables that rows of a hot value are joined with are written first: Spark can then split the hot side.
+    common = materialize(values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "common", paths)
+    listed = values.join(common, "v").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    held = F.least(F.col("n"), F.lit(k))
+    least = least_shared(F.col("n"), k, percent, lambda c, x, y: F.when(c, x).otherwise(y), F.ceil)
+    prefix = held - least + 1 - (held - F.size("vs"))
+    listed = listed.withColumn("p", prefix.cast("int")).filter("p > 0")
+    lists = materialize(listed.select("cid", "n", F.explode(F.expr("slice(vs, 1, p)")).alias("x")).select("cid", "n", F.col("x.v").alias("v")), "lists", paths)
+    lengths = materialize(lists.groupBy("v").agg(F.count("*").alias("c")).filter("c > 1"), "lengths", paths)
+    homes = lists.join(lengths, "v").groupBy("cid", "n").agg(F.max(F.struct("c", "v")).alias("x"), F.collect_list("v").alias("vs"))
+    homes = materialize(homes.select("cid", "n", F.col("x.v").alias("home"), "vs"), "homes", paths)
+    placed = homes.select("cid", "n", "home", F.explode("vs").alias("v"))
+    met = materialize(placed.groupBy("v").agg(F.collect_set("home").alias("hs")).filter("size(hs) > 1"), "met", paths)
+    others = placed.join(met, "v").groupBy("cid", "n", "home").agg(F.array_distinct(F.flatten(F.collect_set("hs"))).alias("hs"))
+    others = others.select("cid", "n", "home", F.explode(F.array_remove("hs", F.col("home"))).alias("other"))
+    members = materialize(homes.select("cid", "n", "home", F.col("home").alias("other")).unionByName(others), "members", paths)
+
+    known = classes.join(homes.select("cid"), "cid", "left_semi")
+    wanted = materialize(known.filter(F.col("n") > k).select("cid", "rep", "th", "n", "key"), "wanted", paths)
+    fulls = full_sets(docs, broadcast_if(wanted, wanted.count(), BROADCAST_ROWS), shingle)
+    fulls = fulls.unionByName(known.filter(F.col("n") <= k).select("cid", F.col("sketch").alias("full")))
+    met_in = _blocks(members, paths).join(fulls, "cid")
+    return met_in.groupBy("h", "g", "i", "j").applyInArrow(lambda t: _links_of(t, k, percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, k: int = SKETCH) -> DataFrame:
@@ -244,96 +335,11 @@ def groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, k: i
     rows = materialize(sketches(docs, shingle, k), "sketches")
     grouped = rows.filter("n > 0").groupBy("n", "key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("r"), F.first("sketch").alias("sketch"))
     grouped = grouped.select("n", "key", "r", F.col("r.doc_id").alias("rep"), F.col("r.th").alias("th"), "sketch")
-    classes = materialize(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
-
-    values = classes.select("cid", "n", F.explode("sketch").alias("v"))
-    common = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
-    listed = values.join(common, "v").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
-    held = F.least(F.col("n"), F.lit(k))
-    prefix = held - least_shared(F.col("n"), k, percent) + 1 - (held - F.size("vs"))
-    lists = listed.withColumn("p", prefix.cast("int")).filter("p > 0").select("cid", "n", F.explode(F.expr("slice(vs, 1, p)")).alias("x"))
-    lists = materialize(lists.select("cid", "n", F.col("x.v").alias("v"), F.xxhash64("cid").alias("h")), "lists", paths)
-
-    wanted = lists.filter(F.col("n") > k).select("cid").distinct()
-    wanted = materialize(classes.join(wanted, "cid", "left_semi").select("cid", "rep", "th", "n", "key"), "wanted", paths)
-    sets = materialize(full_sets(docs, broadcast_if(wanted, wanted.count(), BROADCAST_ROWS), shingle), "sets", paths)
-    small = materialize(classes.join(lists.select("cid").distinct(), "cid", "left_semi").select("cid", "sketch"), "small", paths)
-
-    fulls = sets.unionByName(small.join(classes.filter(F.col("n") <= k).select("cid"), "cid", "left_semi").select("cid", F.col("sketch").alias("full")))
-    homes = [f"h{r}" for r in range(HOMES)]
-    lists = lists.select("*", F.col("cid").alias("label"), *[F.lit(None).cast("long").alias(c) for c in homes])
-    links, tried, labels = None, None, None
-    n_rows = lists.count()
-
-    def linked(fresh: DataFrame) -> None:
-        nonlocal links, labels, lists
-        fresh = materialize(in_tasks(fresh, n_rows, 10_000), "links", paths)
-        if not fresh.isEmpty():
-            links = fresh if links is None else links.unionByName(fresh)
-            lists, labels = _relabelled(lists, links, paths, n_rows)
-        tidy(spark)
-
-    def meet(hub: DataFrame) -> None:
-        """Compare hubs (v, hc, hn, hl, their homes) with the members of their lists."""
-        nonlocal tried, lists
-        met = F.lit(False)
-        for c in homes:
-            met = met | F.coalesce(F.col(c) == F.col(f"_{c}"), F.lit(False))
-        pairs = lists.join(hub, "v").filter((F.col("label") != F.col("hl")) & ~met & (100 * F.least("n", "hn") >= percent * F.greatest("n", "hn")))
-        one = F.col("cid") < F.col("hc")
-        two = lambda x, y, name: F.when(one, F.col(x)).otherwise(F.col(y)).alias(name)
-        pairs = pairs.select(two("cid", "hc", "a"), two("hc", "cid", "b"), two("n", "hn", "na"), two("hn", "n", "nb"))
-        pairs = in_tasks(pairs, n_rows).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(in_tasks(pairs, n_rows), "pairs", paths)
-        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        linked(_confirmed(pairs, small, sets, k, percent))
-        # A hub has met all of its list and leaves it.
-        was = hub.select("v", F.col("hc").alias("cid"), F.lit(True).alias("_was"))
-        lists = in_tasks(lists.join(was, ["v", "cid"], "left"), n_rows).filter("_was is null").drop("_was")
-
-    def hubs_of(rows: DataFrame, count: int) -> DataFrame:
-        found = rows.groupBy("v", F.pmod(F.col("h"), F.lit(count)).alias("_s")).agg(F.min(F.struct("h", "cid", "n", "label", *homes)).alias("x"))
-        found = found.select("v", F.col("x.cid").alias("hc"), F.col("x.n").alias("hn"), F.col("x.label").alias("hl"), *[F.col(f"x.{c}").alias(f"_{c}") for c in homes])
-        return materialize(in_tasks(found, n_rows), "hubs", paths)
-
-    meet(hubs_of(lists, 1))
-    for r in range(HOMES):
-        lists = _mixed(lists, paths, n_rows)
-        done = F.lit(False)
-        for c in homes[:r]:
-            done = done | ((F.count(c) == F.count("*")) & (F.min(c) == F.max(c)))
-        long = lists.groupBy("v").agg(F.count("*").alias("c"), done.alias("done")).filter((F.col("c") > LONG) & ~F.col("done")).select("v", "c")
-        home = lists.join(long, "v").groupBy("cid").agg(F.max(F.struct("c", "v")).alias("x")).select("cid", F.col("x.v").alias("_home"))
-        home = materialize(in_tasks(home, n_rows), "homes", paths)
-        if home.isEmpty():
-            break
-        lists = materialize(in_tasks(lists.join(home, "cid", "left"), n_rows).withColumn(homes[r], F.col("_home")).drop("_home"), "lists", paths)
-        at_home = lists.filter(F.col("v") == F.col(homes[r]))
-        linked(_home_links(at_home, "label" if r == 0 else homes[0], fulls, percent))
-    # What is left: hubs among the members that don't share the commonest first home of their list.
-    lists = _mixed(lists, paths, n_rows)
-    first = lists.filter("h0 is not null").groupBy("v", "h0").agg(F.count("*").alias("c")).groupBy("v").agg(F.max(F.struct("c", "h0")).alias("x"))
-    first = materialize(in_tasks(first.select("v", F.col("x.h0").alias("_m")), n_rows), "firsts", paths)
-    lists = lists.join(first, "v", "left").withColumn("hub", ~F.coalesce(F.col("h0") == F.col("_m"), F.lit(False))).drop("_m")
-    count = 4
-    while True:
-        lists = _mixed(lists, paths, n_rows)
-        left = lists.filter("hub")
-        if left.isEmpty():
-            break
-        meet(hubs_of(left, count))
-        count *= 4
-
-    found = classes.select("n", "key", "r", "cid")
-    if labels is not None:
-        named = found.join(labels.withColumnRenamed("node", "cid"), "cid").select("n", "key", "r", "label")
-        least = named.groupBy("label").agg(F.min("r").alias("least"))
-        moved = named.join(least, "label").filter("least < r").select("n", "key", "least")
-        found = found.join(moved, ["n", "key"], "left").select("n", "key", F.coalesce("least", "r").alias("first"))
-    else:
-        found = found.select("n", "key", F.col("r").alias("first"))
+    classes = materialize(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes", paths)
+    labels = materialize(components(links(docs, classes, shingle, k, percent, paths), paths).withColumnRenamed("node", "cid"), "labels", paths)
+    least = labels.join(classes.select("cid", "r"), "cid").groupBy("label").agg(F.min("r").alias("least"))
+    firsts = labels.join(materialize(least, "least", paths), "label").select("cid", "least")
+    found = classes.select("n", "key", "r", "cid").join(firsts, "cid", "left").select("n", "key", F.coalesce("least", "r").alias("first"))
     found = materialize(found, "found")
     discard(spark, paths)
     out = rows.select("doc_id", "th", "n", "key").join(found, ["n", "key"], "left")
