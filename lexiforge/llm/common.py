@@ -37,7 +37,17 @@ def shared_dir(spark: SparkSession, label: str) -> str:
         files = path.getFileSystem(sc._jsc.hadoopConfiguration())
         files.mkdirs(path)
         files.deleteOnExit(path)
-    return f"{top}/{label}-{uuid.uuid4().hex}"
+    path = f"{top}/{label}-{uuid.uuid4().hex}"
+    made(spark).append(path)
+    return path
+
+
+def made(spark: SparkSession) -> list[str]:
+    """The folder names given out by ``shared_dir``, in order."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_lexiforge_made"):
+        sc._lexiforge_made = []
+    return sc._lexiforge_made
 
 
 def materialize(df: DataFrame, label: str, keep: list[str] | None = None) -> DataFrame:
