@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor
 kept; ``run`` writes each stage's rows as Parquet in the shared folder and reads
-them back as the next one's documents.
+them back as the next one's documents. What a stage has written on the way goes
+when its rows are written.
+
+Defined results of all stages: columns other than those of documents are
+ignored, whatever their names; any column may be null; an empty table gives no
+rows; texts of any length are read whole. Each stage says below what it does
+with null and empty texts, repeated rows and ties.
 """
 
 from __future__ import annotations
@@ -10,13 +16,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiforge.llm import langid, line_dedup, minhash, packing
-from lexiforge.llm.common import materialize, read
+from lexiforge.llm.common import discard, made, materialize, read
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark, docs, sf_dir):
-    """Learns from every labelled row of its input; documents of no language (``und``: null or no letter) go, whether or not any row is labelled."""
+    """Learns from every labelled row of its input; documents of no language (``und``) go, whether or not any row is labelled.
+
+    Those are null and empty texts and texts without a letter. Every other row stays, repeated ones too, whatever its score;
+    a tie between languages is settled by their names, so equal texts get one decision.
+    """
     docs = docs.select(*COLUMNS)
     model = langid.fit(docs, F.lit(True))
     if not model.languages:
@@ -26,7 +36,11 @@ def language_id(spark, docs, sf_dir):
 
 
 def site_lines(spark, docs, sf_dir):
-    """Drops boilerplate lines of each source; n_chars follows the text."""
+    """Drops boilerplate lines of each source; n_chars follows the text.
+
+    Every row stays. Null and empty texts stay as they are; rows without a source count as one site; a repeated row counts as a
+    page of its own; lines of equal share go or stay together.
+    """
     cleaned = line_dedup.drop_boilerplate(docs.select(*COLUMNS), F.col("source"))
     chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", chars).select(*COLUMNS)
@@ -56,7 +70,7 @@ def near_duplicates(spark, docs, sf_dir):
 
 
 def pack(spark, docs, sf_dir):
-    """Packs what is left into windows of 2048 tokens."""
+    """Packs what is left into windows of 2048 tokens; null and empty texts are their end alone, repeated rows are packed each."""
     return packing.pack_documents(docs)
 
 
@@ -69,5 +83,8 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        own = len(made(spark))
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        last = made(spark)[-1]
+        discard(spark, [p for p in made(spark)[own:] if p != last])
     return docs
