@@ -79,12 +79,12 @@ from judged
 
 TOP_K_SQL = """
 with x as (
-  select vec_id, list_transform(embedding, lambda v: floor(64 * v::double)::bigint) q from embeddings
+  select row_number() over () rid, vec_id, list_transform(embedding, lambda v: floor(64 * v::double)::bigint) q from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0),
 s as (
-  select a.vec_id query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::bigint score
-  from x a join x b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+  select a.rid, a.vec_id query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::bigint score
+  from x a join x b on a.rid <> b.rid where a.vec_id % 20 = 0),
+r as (select *, row_number() over (partition by rid order by score desc, vec_id) as rank from s)
 select query_id, rank::int as rank, vec_id, score from r where rank <= 20
 """
 

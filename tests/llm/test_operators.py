@@ -280,38 +280,66 @@ def test_arc_parser(version):
 
 
 def brute_top(vectors, k, step):
+    """Every row whose id is divisible asks, and meets all rows but itself."""
     ok = [(i, [math.floor(64 * float(x)) for x in v]) for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    top = 2**63 - 1
     out = Counter()
-    for q in {i for i, _ in ok if i % step == 0}:
-        qv = min(v for i, v in ok if i == q)
-        s = sorted(((-sum(a * b for a, b in zip(qv, v)), i) for i, v in ok if i != q))[:k]
+    for a, (q, qv) in enumerate(ok):
+        if q % step:
+            continue
+        s = sorted((-max(-top - 1, min(top, sum(x * y for x, y in zip(qv, v)))), i) for b, (i, v) in enumerate(ok) if a != b)[:k]
         for r, (score, i) in enumerate(s):
             out[q, r + 1, i, -score] += 1
     return out
 
 
-def test_top_k(spark, monkeypatch):
+@pytest.mark.parametrize("pivots,block_rows", [(256, None), (8, 40), (3, 7)])
+def test_top_k(spark, pivots, block_rows):
     rnd = np.random.default_rng(4)
     vectors = [(i, rnd.normal(size=8).tolist()) for i in range(300)]
     vectors += [(i, vectors[5][1]) for i in range(300, 340)] + [(340, None), (341, [1.0, None]), (342, [float("nan")] * 8), (343, [float("inf")] * 8), (None, [1.0] * 8), (344, []), (345, [1.0, 2.0]), (20, [0.5] * 8), (347, [0.0] * 8)]
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    vectors += [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (40, vectors[40][1]), (-20, [2.0] * 8), (3, [1.0, 1.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("row", F.lit("clash")).withColumn("q", F.lit(1))
     vectors = [(r[0], r[1]) for r in df.collect()]
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
-    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 60)
-    monkeypatch.setattr(topk, "BATCH", 25)
-    got = Counter(map(tuple, topk.exact_top_k(df).collect()))
-    assert got == brute_top(vectors, 20, 20)
-    assert topk.exact_top_k(df.limit(0)).count() == 0
-    big = spark.createDataFrame([(i, [1e7 * i, -3.0]) for i in range(4)], "vec_id long, embedding array<double>")
-    assert Counter(map(tuple, topk.exact_top_k(big, k=2, query_step=2).collect())) == brute_top([tuple(r) for r in big.collect()], 2, 2)
+    assert Counter(map(tuple, topk.exact_top_k(df, pivots=pivots, block_rows=block_rows).collect())) == brute_top(vectors, 20, 20)
+
+
+def test_top_k_awkward_tables(spark):
+    kind = "vec_id long, embedding array<double>"
+    assert topk.exact_top_k(spark.createDataFrame([], kind)).count() == 0
+    # Equal ids are rows of their own: three queries and candidates.
+    few = spark.createDataFrame([(20, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [1.0, 1.0])], kind)
+    assert Counter(map(tuple, topk.exact_top_k(few).collect())) == Counter({(20, 1, 3, 4096): 2, (20, 2, 20, 0): 2})
+    assert topk.exact_top_k(spark.createDataFrame([(0, [0.0])] * 3, kind)).count() == 6
+    # Products that doubles don't hold, beyond a long as well.
+    for size in (1e7, 1e12, 1e30, 1e160):
+        big = spark.createDataFrame([(i, [size * (i % 5 - 2), -3.0, size / 7]) for i in range(30)], kind)
+        assert Counter(map(tuple, topk.exact_top_k(big, k=3, query_step=2, pivots=4, block_rows=6).collect())) == brute_top([tuple(r) for r in big.collect()], 3, 2)
 
 
 def test_top_k_stops_early():
+    """Of clustered vectors of 64 dimensions few products are evaluated."""
     rnd = np.random.default_rng(0)
-    centres = rnd.normal(size=(50, 4)) * 100
-    x = np.floor(centres[rnd.integers(0, 50, 5000)] + rnd.normal(size=(5000, 4)))
-    *_, evaluated = topk.search(x[:50], np.arange(50), x, np.arange(5000), 10)
-    assert evaluated < 0.5 * 50 * 5000
+    centres = rnd.normal(size=(60, 64)) * 20
+    x = np.floor(centres[rnd.integers(0, 60, 6000)] + rnd.normal(size=(6000, 64)))
+    table = topk.PivotTable(x[:2000], float(np.abs(x).max()))
+    side = {"row": np.arange(6000), "ids": np.arange(6000), "x": x, "norms": table.norms_of(x), "steps": table.distances(x)}
+    asks = {key: v[:80] for key, v in side.items()}
+    at, ids, scores, evaluated = topk.search(table, asks, side, 10)
+    assert evaluated < 0.25 * 80 * 6000
+    products = (x[:80] @ x.T).astype(np.int64)
+    products[np.arange(80), np.arange(80)] = -(2**62)
+    want = [(-s, i) for row in products.tolist() for s, i in sorted((-s, i) for i, s in enumerate(row))[:10]]
+    assert list(zip(scores.tolist(), ids.tolist())) == want
+
+
+def test_top_k_skips_blocks(spark):
+    """Blocks whose ranges can't reach any query's k-th score aren't met."""
+    rnd = np.random.default_rng(1)
+    centres = rnd.normal(size=(8, 16)) * 2
+    rows = [(i, (centres[i % 8] + rnd.normal(size=16) * 0.05).tolist()) for i in range(800)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert Counter(map(tuple, topk.exact_top_k(df, k=5, pivots=32, block_rows=50).collect())) == brute_top(rows, 5, 20)
 
 
 def brute_ctw(train, text, depth):
