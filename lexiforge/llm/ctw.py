@@ -11,10 +11,15 @@ and a decision's probability is the weighted mean of the estimates along its pat
 Counts cover all training texts. Texts are dealt into blocks; what a block holds
 (words, and grams of DEPTH bytes and the byte after them) is counted in it,
 packed by bucket of words and by the last two context bytes of grams, summed over
-blocks, GROUP of them at a time, and comes back to the blocks that hold it. So no
-table of all words or grams is gathered, broadcast or sent to the driver: a
-block meets its own part of the model. Grams that only held-out texts hold take
-part with count 0, so their probability comes from the same trees.
+blocks, GROUP of them at a time in as many rounds as that takes, and comes back
+to the blocks that hold it. So no table of all words or grams is gathered,
+broadcast or sent to the driver: a block meets its own part of the model. Grams
+that only held-out texts hold take part with count 0, so their probability comes
+from the same trees.
+
+What is written grows with the text: a block has at most BUCKETS rows of words
+and 65,536 of grams, and on the way back a key's part of the model is copied only
+as often as the blocks' own parts of that key outweigh it.
 
 The trees split at their last two bytes into subtrees that are worked out apart;
 what lies above is a table of at most 256 * 255 rows, which the driver mixes.
@@ -39,7 +44,9 @@ from pyspark.sql import functions as F
 from .common import discard, fold, materialize
 
 DEPTH = 6
-BLOCK_BYTES, CHUNK, LEAST_BLOCKS, GROUP = 24 << 20, 4 << 20, 8, 64
+BLOCK_BYTES, CHUNK, LEAST_BLOCKS, GROUP, BUCKETS = 12 << 20, 4 << 20, 8, 64, 4096
+#: On the way back a task meets held parts of about so many bytes, or four times the model's part if that is more.
+RETURN_BYTES = 32 << 20
 END = b"\n"
 HALF = math.log(0.5)
 
@@ -335,9 +342,17 @@ def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
 
 
 def _merge_numbers(blobs) -> tuple[np.ndarray, np.ndarray]:
-    parts = [unpack_numbers(b.as_py()) for b in blobs]
-    codes, n = _summed([c for c, _ in parts], [n for _, n in parts])
-    return codes, n.astype(np.int64)
+    """Sums of packed counts; what is held at once is about twice the distinct codes."""
+    codes, counts, size = [], [], 0
+    for b in blobs:
+        c, n = unpack_numbers(b.as_py())
+        codes.append(c)
+        counts.append(n)
+        if sum(map(len, codes)) > max(1 << 20, 2 * size):
+            codes, counts = [[x] for x in _summed(codes, counts)]
+            size = len(codes[0])
+    code, n = _summed(codes, counts)
+    return code, n.astype(np.int64)
 
 
 def _merge_words(blobs) -> tuple[list[bytes], list[int]]:
@@ -351,7 +366,7 @@ def _merge_words(blobs) -> tuple[list[bytes], list[int]]:
 
 
 def _merged(parts: DataFrame) -> DataFrame:
-    """Sums over at most GROUP blocks at a time, so that no task holds a key's parts of all blocks."""
+    """Sums over GROUP blocks at a time, so that no task holds a key's parts of all blocks; GROUP sums count as a block of the next round."""
 
     def run(g: pa.Table) -> pa.Table:
         kind, key = g["kind"][0].as_py(), g["key"][0].as_py()
@@ -388,7 +403,7 @@ def _models(merged: DataFrame, crown: Crown, depth: int) -> DataFrame:
     return merged.groupBy("kind", "key").applyInArrow(run, PARTS)
 
 
-def _returned(parts: DataFrame, models: DataFrame, groups: int) -> DataFrame:
+def _returned(parts: DataFrame, models: DataFrame) -> DataFrame:
     """The model's part for each block: what the block holds of each key, with the model's values."""
 
     def run(held: pa.Table, table: pa.Table) -> pa.Table:
@@ -404,9 +419,14 @@ def _returned(parts: DataFrame, models: DataFrame, groups: int) -> DataFrame:
         own = ((b, unpack_numbers(x.as_py())[0]) for b, x in zip(held["block"], held["blob"]))
         return _parts([(kind, key, b.as_py(), pack_numbers(c, values[np.searchsorted(codes, c)])) for b, c in own])
 
-    left = parts.select("kind", "key", "block", "blob", F.floor(F.col("block") / GROUP).cast("int").alias("group")).groupBy("kind", "key", "group")
-    right = models.select(F.col("kind").alias("kind"), F.col("key").alias("key"), F.col("blob").alias("blob"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")).groupBy("kind", "key", "group")
-    return left.cogroup(right).applyInArrow(run, PARTS)
+    # One row a key, of which there are at most 65,536 + BUCKETS.
+    bytes_of = lambda t, name: t.groupBy("kind", "key").agg(F.sum(F.octet_length("blob")).alias(name))
+    shares = bytes_of(parts, "_held").join(bytes_of(models, "_own"), ["kind", "key"])
+    shares = shares.select("kind", "key", F.ceil(F.col("_held") / F.greatest(F.lit(RETURN_BYTES), 4 * F.col("_own"))).cast("int").alias("_n"))
+    left = parts.join(F.broadcast(shares), ["kind", "key"]).select("kind", "key", "block", "blob", F.pmod(F.xxhash64("block"), F.col("_n")).cast("int").alias("group"))
+    right = models.join(F.broadcast(shares), ["kind", "key"]).select("kind", "key", "blob", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("group"))
+    anew = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns]).groupBy("kind", "key", "group")
+    return anew(left).cogroup(anew(right)).applyInArrow(run, PARTS)
 
 
 def _scored(blobs: DataFrame, model: DataFrame, total: int, distinct: int, depth: int) -> DataFrame:
@@ -471,12 +491,14 @@ def score_documents(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     n_blocks = max(LEAST_BLOCKS, math.ceil(size / BLOCK_BYTES))
     blobs = _blobs(docs, n_blocks)
     paths: list[str] = []
-    held = materialize(_holdings(blobs, depth, n_blocks), "holdings", paths)
-    merged = materialize(_merged(held), "merged", paths)
+    held = materialize(_holdings(blobs, depth, min(n_blocks, BUCKETS)), "holdings", paths)
+    merged, left = held, n_blocks
+    while left > 1 or merged is held:
+        merged, left = materialize(_merged(merged), "merged", paths), math.ceil(left / GROUP)
     crown = _crown(merged.filter(F.col("kind") == GRAMS), depth)
     models = materialize(_models(merged, crown, depth), "models", paths)
     total, distinct = _facts(models.filter(F.col("kind") == WORDS))
-    back = _returned(held, models, math.ceil(n_blocks / GROUP))
+    back = _returned(held, models)
     scored = materialize(_scored(blobs, back, total, distinct, depth), "scored")
     discard(spark, paths)
     return scored.select(
