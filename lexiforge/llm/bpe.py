@@ -13,7 +13,9 @@ bounded cache of each worker.
 
 Defined results: a null text counts as an empty one and has no ids; the string
 of a special token inside a text becomes that token's id, as the tokenizers
-library does by default; texts and single words of any length are encoded whole.
+library does by default; texts and single words of any length are encoded whole;
+each row gives one row, repeated ones and null ids too; an empty table gives no
+rows; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -214,9 +216,6 @@ class Library:
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = special_pattern(self.specials)
         ranks = {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.specials}
-        self.size = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
-        for b, i in ranks.items():
-            self.size[i] = len(b)
         # Merging goes by rank: single bytes first, then as the merges are listed.
         self.own = tiktoken.Encoding("own", pat_str=r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""", mergeable_ranks=ranks, special_tokens={})
 
@@ -245,40 +244,21 @@ class Library:
                 out.append(self.numbers(t).tobytes())
         return out
 
-    def encode_pieces(self, pieces: list[str], lead: str) -> list[list[int]]:
-        """Pieces that follow a space are encoded in one text, as no token crosses such a space, and told apart by their bytes."""
-        if not lead:
-            return [self.numbers(p).tolist() for p in pieces]
-        data = [(lead + p).encode() for p in pieces]
-        ids = self.numbers(b"".join(data).decode())
-        at = np.cumsum(self.size[ids])
-        ends = np.searchsorted(at, np.cumsum([len(d) for d in data])) + 1
-        starts = [0, *ends[:-1].tolist()]
-        ids = ids.tolist()
-        return [ids[i:j] for i, j in zip(starts, ends.tolist())]
-
 
 class PieceEncoder:
     """Encodes texts through a bounded cache of pieces; ``value`` turns a piece's ids into what is kept.
 
-    ``model`` finds the ids of missing pieces: a BpeModel by the trie, a Library at once.
-
-    ``frequent`` maps pieces that follow a space to their values and is never evicted.
+    ``model`` finds the ids of missing pieces by the trie.
     """
 
-    def __init__(self, model: BpeModel, value, join, frequent: dict | None = None, most: int = CACHE_PIECES):
+    def __init__(self, model: BpeModel, value, join, most: int = CACHE_PIECES):
         self.model, self.value, self.join, self.most = model, value, join, most
-        self.frequent = frequent or {}
-        self.spaced: dict = dict(self.frequent)
+        self.spaced: dict = {}
         self.bare: dict = {}
         #: Values of pre-tokens, of which pieces are made.
         self.tokens: dict = {}
 
     def _fill(self, missing: set[str], cache: dict, lead: str) -> None:
-        if isinstance(self.model, Library):
-            pieces = list(missing)
-            cache.update(zip(pieces, map(self.value, self.model.encode_pieces(pieces, lead))))
-            return
         known = self.tokens
         pieces = {p: [lead + p] if p.isalpha() else PRE_TOKEN.findall(lead + p) for p in missing}
         fresh = {t.encode(): t for ts in pieces.values() for t in ts if t not in known}
@@ -310,9 +290,9 @@ class PieceEncoder:
 
     def _trim(self) -> None:
         """Beyond the bound the longer pieces go, as the rarer ones; all go if short ones fill it."""
-        if len(self.spaced) > self.most + len(self.frequent):
+        if len(self.spaced) > self.most:
             short = {p: v for p, v in self.spaced.items() if len(p) <= 8}
-            self.spaced = dict(self.frequent) | (short if len(short) < self.most // 2 else {})
+            self.spaced = short if len(short) < self.most // 2 else {}
         if len(self.bare) > self.most // 4:
             self.bare = {}
 

@@ -83,7 +83,7 @@ def test_bpe_random_strings(tok):
 def test_bpe_long_runs(tok, text):
     want = tok.encode(text, add_special_tokens=False).ids
     assert bpe.id_encoder(tokenizer_path()).encode([text]) == bpe.id_encoder(tokenizer_path(), trie=False).encode([text]) == [bpe.pack_ids(want)]
-    assert bpe.PieceEncoder(bpe.Library(tokenizer_path()), len, sum).encode([text]) == [len(want)]
+    assert token_counts.Counts(tokenizer_path(), {}).of_text(text) == len(want)
 
 
 def test_bpe_round_trip_table(docs, rows):
@@ -97,6 +97,32 @@ def test_token_counts(docs, rows, tok):
         assert Counter(map(tuple, got.collect())) == by_text(rows, lambda t: (len((t or "").encode()), n := len(ids_of(tok, t)), n > 100))
 
 
+AWKWARD_SPACES = ["a  b", "a \n b  c ", " \u3000x\x85 y", "tail  ", "it's  don't  12ab--", "x\x1c y\x1d\x1e  z", "<|endoftext|>  a<|endoftext|> ", " ", "  ", "a\u00a0 b", "\t \n"]
+
+
+def test_token_counts_of_awkward_spaces(spark, tok):
+    """Runs of white space meet table and cache as other texts do; what the table holds changes no count."""
+    rnd = random.Random(9)
+    texts = AWKWARD_SPACES + ["".join(rnd.choice(AWKWARD_SPACES) for _ in range(rnd.randrange(1, 9))) for _ in range(300)]
+    want = [len(ids_of(tok, t)) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    frequent = token_counts.frequent_pre_tokens(df, tokenizer_path(), 5)
+    exact = Counter(w for t in texts for part in t.split("<|endoftext|>") for w in bpe.PRE_TOKEN.findall(part))
+    assert frequent == sorted(exact, key=lambda w: (-exact[w], w))[:5]
+    for table in ({}, {t: len(ids_of(tok, t)) for t in frequent}):
+        own = token_counts.Counts(tokenizer_path(), table, most=20)
+        assert [own.of_text(t) for t in texts] == want
+    assert [r["n_tokens"] for r in token_counts.token_counts(df, table_size=5).orderBy("doc_id").collect()] == want
+
+
+def test_chunks_end_where_pre_tokens_do():
+    """For every code point: the chunks' pre-tokens are the text's."""
+    for at in range(0, 0x11000, 97):
+        for c in map(chr, range(at, min(at + 97, 0xD800))) if at < 0xD800 else ():
+            t = f"a{c} {c}b 1{c}{c} x{c}"
+            assert [w for k in token_counts.CHUNK.findall(t) for w in token_counts.pre_tokens(k)] == bpe.PRE_TOKEN.findall(t)
+
+
 def test_packing(docs, rows, tok):
     got = packing.pack_documents(docs, window=256, max_piece=64, group=40).collect()
     seqs, pieces = defaultdict(list), defaultdict(list)
@@ -398,7 +424,8 @@ def test_gram_codes():
 
 
 def test_lm_scores(docs, rows, monkeypatch):
-    monkeypatch.setattr(ctw, "GROUP", 3)
+    monkeypatch.setattr(ctw, "GROUP", 2)  # three rounds of sums
+    monkeypatch.setattr(ctw, "RETURN_BYTES", 300)
     small = [r for r in rows if len(r[1] or "") < 400]
     ids = [r[0] for r in small]
     df = docs.filter(F.length(F.coalesce("text", F.lit(""))) < 400)
