@@ -13,7 +13,11 @@ the most a window can have, the rarer it is; nearly constant windows rank last.
 
 Defined results: a null text counts as empty; an empty text has an empty digest,
 like only to another empty one; a text under 64 bytes is one feature, as is one
-without windows that rank; equal texts always have equal digests and likeness 1.
+without windows that rank; equal texts always have equal digests and likeness 1;
+of equally rare windows the leftmost gets the point; texts of any length are read
+whole. Each row gives one row: rows of null id come first, rows of one id follow
+each other by their texts. Columns other than doc_id and text are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ FILTER_BITS, FILTER_FEATURES, HASHES = 2048, 160, 5
 TYPICAL, LEAST = 640, 100
 BLOCK = 1 << 20
 LEAST_KEY = -(2**63)
+MOST_RANGES = 20_000
 
 _c = np.arange(WINDOW + 2)
 #: c * log2(c) in fixed point, so that sums don't depend on their order.
@@ -207,11 +212,13 @@ def compare_with_next(docs: DataFrame, rows_per_bucket: int = 1000) -> DataFrame
     The next document is that of the next higher doc_id (null ids first, rows of
     one id by text), after the last the first. Ids are cut into ranges at ids
     that exist, so each range's first document is known: it is sent to the range
-    before as well, and texts are shuffled once.
+    before as well, and texts are shuffled once. There are MOST_RANGES ranges at
+    most; beyond that a range holds more rows, which only pass through its task,
+    a few at a time.
     """
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_KEY)).alias("_key"))
     size = keyed.agg(F.count("*").alias("n")).first()["n"]
-    n = max(1, min(20_000, math.ceil(size / rows_per_bucket)))
+    n = max(1, min(MOST_RANGES, math.ceil(size / rows_per_bucket)))
     cuts = keyed.agg(F.percentile_approx("_key", [i / n for i in range(n)], 10 * n).alias("c"), F.min("_key").alias("lo")).first()
     cuts = sorted({cuts["lo"], *cuts["c"]}) if size else [0]
     shared = docs.sparkSession.sparkContext.broadcast(np.array(cuts, np.int64))

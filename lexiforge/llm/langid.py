@@ -6,12 +6,19 @@ frequencies of byte 2-, 3- and 4-grams of the whole text, lower-cased, all but
 letters as blanks.
 
 The classifiers are fitted on a bounded sample of labelled rows: at most
-``per_language`` rows of each language and ``MAX_SAMPLE`` in all, those of least
-hash of their id and text; rows that share both count once. Prediction uses the text alone.
+``per_language`` rows of each language and ``MAX_SAMPLE`` in all (two of each
+language at least), those of least hash of their id and text; rows that share
+both count once. Every language of the labels is learned; over MAX_LANGUAGES
+distinct labels end in an error, as such a column isn't one of languages.
+Prediction uses the text alone.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 so is every text if nothing labelled was there to learn from; one learned
-language is predicted for all other texts, with score 1.
+language is predicted for all other texts, with score 1. Texts of any length are
+read whole, in blocks. Each row gives one row, repeated ones and null ids too;
+equal texts get equal results, and ties go to the lesser family, then to the
+language of more votes, of greater summed margins, and the lesser code. Columns
+other than doc_id, text and lang are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, materialize
 
 #: Families of languages by ISO 639-1 code; a language not named is a family of its own.
 FAMILIES = {
@@ -38,7 +45,7 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 DIMS = 1 << 13
-PER_LANGUAGE, MAX_SAMPLE, MAX_LANGUAGES = 300, 4000, 200
+PER_LANGUAGE, MAX_SAMPLE, MAX_LANGUAGES = 300, 4000, 2000
 LETTER = regex.compile(r"\p{L}")
 BLOCK = 1 << 20
 _bytes = np.arange(256)
@@ -130,14 +137,16 @@ def sample(docs: DataFrame, labelled: Column, per_language: int = PER_LANGUAGE)
     rows = docs.filter(labelled & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
     # Id and text together, so that rows of one id, or of none, are spread as others are.
     rows = rows.select("lang", "text", (F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), "text"), 2) / F.lit(2.0**62)).alias("h"))
-    counts = {r["lang"]: r["d"] for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("h").alias("d")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not counts:
+    counts = materialize(rows.groupBy("lang").agg(F.countDistinct("h").alias("n")), "languages")
+    languages = counts.count()
+    if languages > MAX_LANGUAGES:
+        raise ValueError(f"{languages} distinct labels; at most {MAX_LANGUAGES} languages can be learned")
+    if not languages:
         return []
-    each = max(2, min(per_language, MAX_SAMPLE // len(counts)))
+    each = max(2, min(per_language, MAX_SAMPLE // languages))
     # Of each language the rows of least hash, by a bound that lets a few more than needed through, whatever the table's size.
-    share = F.lit(None).cast("double")
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, (each + 5 * each**0.5 + 5) / n))).otherwise(share)
+    share = F.least(F.lit(1.0), F.lit(each + 5 * each**0.5 + 5) / F.col("n")).alias("share")
+    rows = rows.join(F.broadcast(counts.select("lang", share)), "lang")
 
     def run(batches):
         for b in batches:
@@ -146,9 +155,9 @@ def sample(docs: DataFrame, labelled: Column, per_language: int = PER_LANGUAGE)
             packed = ([i.astype(np.uint16).tobytes() for i in at], [x[i].tobytes() for i, x in zip(at, found)])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(p, pa.binary()) for p in packed)], names=["lang", "h", "at", "x"])
 
-    picked = rows.filter(F.col("h") < share).groupBy("lang", (F.col("h") / share).alias("h")).agg(F.first("text").alias("text"))
+    picked = rows.filter("h < share").groupBy("lang", (F.col("h") / F.col("share")).alias("h")).agg(F.first("text").alias("text"))
     found: dict[str, list] = {}
-    for r in picked.mapInArrow(run, "lang string, h double, at binary, x binary").orderBy("h").limit(3 * MAX_SAMPLE).toLocalIterator():
+    for r in picked.mapInArrow(run, "lang string, h double, at binary, x binary").orderBy("h", "lang").limit(max(3 * MAX_SAMPLE, 3 * each * languages)).toLocalIterator():
         if len(got := found.setdefault(r["lang"], [])) < each:
             got.append((np.frombuffer(r["at"], np.uint16), np.frombuffer(r["x"], np.float32)))
     return [(lang, x) for lang in sorted(found) for x in found[lang]]

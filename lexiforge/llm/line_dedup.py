@@ -6,10 +6,18 @@ pages of that host. Built-in functions only. Lines travel as 64-bit hashes, one
 for each page and distinct line, summed before the shuffle; the table of
 boilerplate lines holds at most (mean lines per page / ratio) rows a host.
 
-Defined results: blank lines are never boilerplate; a page that would lose all
-its lines that aren't blank is left as it is, as a whole page is no boilerplate
-of another (copies of whole pages are for the near-duplicate operator); null
-and empty texts stay as they are; pages without a host count as one host.
+Two limits spare small hosts and whole pages, and both can be turned off: with
+``min_pages=1`` the ratio alone decides on hosts of any size, and with
+``keep_whole=False`` a page of boilerplate alone loses all its lines.
+
+Defined results: blank lines are never boilerplate; with ``keep_whole`` a page
+that would lose all its lines that aren't blank is left as it is, as a whole
+page is no boilerplate of another (copies of whole pages are for the
+near-duplicate operator); null and empty texts stay as they are; pages without a
+host count as one host; a repeated row is a page of its own; a line counts once
+a page; lines of equal share go or stay together; texts of any length are split
+whole; columns n_lines and n_dropped that a table has are replaced, all others
+are kept, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,7 +47,7 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
     return over.groupBy("_host").agg(F.array_sort(F.collect_list("_line")).alias("_drop"))
 
 
-def drop_boilerplate(docs: DataFrame, host: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, keep_whole: bool = True) -> DataFrame:
     """``docs`` with text cleaned, and the columns n_lines and n_dropped (bigint) added."""
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"), F.coalesce(host.cast("string"), F.lit("\x00none")).alias("_host"))
     drop = materialize(boilerplate(keyed.select("_host", "_text"), ratio, min_pages), "boilerplate")
@@ -47,7 +55,7 @@ def drop_boilerplate(docs: DataFrame, host: Column, ratio: float = RATIO, min_pa
     split = joined.withColumn("_all", F.when(F.col("_drop").isNotNull(), _lines(F.col("_text"))))
     rest = split.withColumn("_rest", F.filter("_all", lambda x: _is_blank(x) | ~F.array_contains(F.col("_drop"), F.xxhash64(x))))
     some = F.exists("_rest", lambda x: ~_is_blank(x))
-    cut = F.coalesce(F.size("_rest") < F.size("_all"), F.lit(False)) & F.coalesce(some, F.lit(False))
+    cut = F.coalesce(F.size("_rest") < F.size("_all"), F.lit(False)) & (F.coalesce(some, F.lit(False)) | F.lit(not keep_whole))
     cleaned = F.when(cut, F.array_join("_rest", "\n")).otherwise(F.col("_text"))
     return rest.select(
         *[(cleaned if c == "text" else F.col("_row").getField(c)).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],

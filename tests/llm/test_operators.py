@@ -151,6 +151,28 @@ def test_packing(docs, rows, tok):
         assert at == len(ids)
 
 
+def plain_difference(sizes, k):
+    """Karmarkar-Karp step by step on lists of lists; the sums of its windows."""
+    parts = [([[s]] + [[] for _ in range(k - 1)]) for s in sizes]
+    spread = lambda p: max(map(sum, p)) - min(map(sum, p))
+    while len(parts) > 1:
+        parts.sort(key=lambda p: -spread(p))
+        a, b = (sorted(p, key=lambda w: -sum(w)) for p in parts[:2])
+        parts = [[x + y for x, y in zip(a, reversed(b))], *parts[2:]]
+    return sorted(map(sum, parts[0])) if parts else []
+
+
+def test_differencing_against_plain_steps():
+    rnd = random.Random(2)
+    assert sorted(sum([8, 7, 6, 5, 4][i] for i in w) for w in packing.difference([8, 7, 6, 5, 4], 2)) == [14, 16]  # the textbook case
+    for _ in range(200):
+        k, n = rnd.randrange(1, 5), rnd.randrange(1, 12)
+        sizes = rnd.sample(range(1, 10**9), n)  # no two partitions of equal spread, so the steps are given
+        got = packing.difference(sizes, k)
+        assert sorted(i for w in got for i in w) == list(range(n))
+        assert sorted([0] * (k - len(got)) + [sum(sizes[i] for i in w) for w in got]) == plain_difference(sizes, k)
+
+
 def test_differencing_is_near_equal():
     rnd = random.Random(1)
     sizes = [rnd.randrange(1, 500) for _ in range(600)]
@@ -269,6 +291,77 @@ def test_language_sample_of_hot_ids(spark):
     assert got == {"aa": langid.PER_LANGUAGE, "bb": langid.PER_LANGUAGE, "cc": 1, "dd": 40}
 
 
+def test_svms_against_plain_descent():
+    """The planes' objective is the one that plain gradient descent, one plane at a time, ends in."""
+    rnd = np.random.default_rng(6)
+    y = rnd.integers(0, 3, 60)
+    x = np.concatenate([rnd.normal(size=(60, 5)) + np.eye(3, 5)[y] * 2, np.ones((60, 1))], 1).astype(np.float32)
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    sides = np.stack([np.where(y == 0, 1, -1), (y == 1).astype(int) - (y == 2)], 1)
+    w, b = langid.linear_svms(x, sides)
+
+    def objective(plane, side):
+        """|w|^2 / 2 and 10 times the mean squared miss of both sides, which weigh the same."""
+        total = (plane @ plane) / 2
+        for row, s in zip(x.astype(float), side):
+            if s:
+                total += 10 * 0.5 / (side == s).sum() * max(0, 1 - s * (plane @ row)) ** 2
+        return total
+
+    for j in range(2):
+        side, plane = sides[:, j], np.zeros(6)
+        for _ in range(6000):
+            grad = plane.copy()
+            for s in (1, -1):
+                own = x[side == s].astype(float)
+                grad -= 10 / len(own) * s * (np.maximum(0, 1 - s * (own @ plane)) @ own)
+            plane -= 0.02 * grad
+        assert objective(np.append(w[:, j], b[j]), side) == pytest.approx(objective(plane, side), rel=1e-3)
+
+
+def test_language_prediction_against_plain_votes():
+    """Hand-made planes: the family of the greatest margin, then one vote for each pair within it."""
+    rnd = np.random.default_rng(7)
+    families = [[0, 3], [1], [2, 4, 5]]
+    pairs = [(0, 3), (2, 4), (2, 5), (4, 5)]
+    m = langid.LanguageModel(list("abcdef"), families, pairs, rnd.normal(size=(langid.DIMS, 7)), rnd.normal(size=7) * 0.1)
+    seen = set()
+    for text in ["alpha beta", "gamma", "delta delta é", "one two three", "zeta!", "lorem ipsum dolor", "sit amet", "qu", "x", *map(str.__mul__, "abcdefgh", range(2, 10))]:
+        counts = Counter()
+        data = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in f" {text} ".encode().lower())
+        for size in (2, 3, 4):
+            for i in range(len(data) - size + 1):
+                code = int.from_bytes(data[i : i + size], "big") + (size << 32)
+                counts[(code * 0x9E3779B97F4A7C15 % 2**64) >> 51] += 1
+        norm = math.sqrt(sum(c * c for c in counts.values()))
+        margin = [sum(c * m.weights[g, j] for g, c in counts.items()) / norm + m.bias[j] for j in range(7)]
+        family = families[max(range(3), key=lambda f: margin[f])]
+        votes = {k: [0, 0.0] for k in family}
+        for (a, b), x in zip(pairs, margin[3:]):
+            if a in family:
+                votes[a if x > 0 else b][0] += 1
+                votes[a][1] += math.tanh(x)
+                votes[b][1] -= math.tanh(x)
+        best = max(family, key=lambda k: votes[k])
+        got, score = m.predict(text)
+        assert got == "abcdef"[best] and 0 < score < 1
+        seen.add(got)
+    assert len(seen) > 2
+
+
+def test_language_id_learns_every_label(spark):
+    """Of many languages none is left out, and a text of each is told from the others'."""
+    rows = [(f"{chr(97 + i // 26)}{chr(97 + i % 26)}", i) for i in range(250)]
+    docs = [(3 * i + j, f"{w}q{w} {w}x " * 5 + f"{j}", w) for w, i in rows for j in range(3)]
+    docs.append((None, "long " * 400_000, "zz"))
+    m = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"), F.lit(True), families={})
+    assert len(m.languages) == 251
+    with pytest.MonkeyPatch.context() as p:
+        p.setattr(langid, "MAX_LANGUAGES", 5)
+        with pytest.raises(ValueError):
+            langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"), F.lit(True))
+
+
 def pages_fixture(spark):
     html = ["<p>a</p>", "<p>b</p>", None, "", "é" * 50, "<p>a</p>", "x" * 300_000]
     rows = [(i, [None, "", "http://x.org/a b", "http://x.org/ä\n"][i % 4], html[i % 7]) for i in range(30)] + [(None, "u", "<p>b</p>"), (None, "v", "only"), (3, "http://again", "<p>a</p>"), (5, "w", "<p>a</p>")]
@@ -469,6 +562,21 @@ def test_line_dedup(spark):
     assert line_dedup.drop_boilerplate(df.limit(0), F.col("source")).count() == 0
 
 
+def test_line_dedup_limits_off(spark):
+    """Without the limits the ratio alone decides, on hosts of any size and for whole pages."""
+    rows = [(i, f"own {i}\nfooter", "a") for i in range(3)] + [(3, "footer", "a"), (4, "footer\n\nfooter", "a"), (5, "alone", "b"), (6, "long " * 300_000 + "\nfooter", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plain = Counter()
+    for host in "ab":
+        own = [(i, t.split("\n")) for i, t, s in rows if s == host]
+        on = Counter(x for _, ls in own for x in set(ls) if x.strip())
+        for i, ls in own:
+            rest = [x for x in ls if not x.strip() or on[x] <= 0.5 * len(own)]
+            plain[i, "\n".join(rest), len(ls), len(ls) - len(rest)] += 1
+    got = line_dedup.drop_boilerplate(df, F.col("source"), ratio=0.5, min_pages=1, keep_whole=False)
+    assert Counter(map(tuple, got.select("doc_id", "text", "n_lines", "n_dropped").collect())) == plain
+
+
 def plain_entropy(w):
     return round(1000 / 6 * (6 - sum(c * math.log2(c) for c in Counter(w).values()) / 64), 2)
 
@@ -490,6 +598,55 @@ def test_fingerprint_selection():
         assert got.tolist() == sorted(i for i, n in points.items() if n >= min(16, runs) and r[i] <= 1000)
 
 
+def plain_filters(text, starts):
+    """Chained filters as sets of bits: five 11-bit numbers of each distinct feature's SHA-1, 160 features a filter."""
+    features = list(dict.fromkeys(text[s : s + 64] for s in starts)) or ([text] if text else [])
+    chain = []
+    for i, f in enumerate(features):
+        if i % 160 == 0:
+            chain.append(set())
+        h = hashlib.sha1(f).digest()
+        chain[-1] |= {int.from_bytes(h[4 * j : 4 * j + 4], "big") % 2048 for j in range(5)}
+    return chain
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return 1.0 if a == b else 0.0
+    if a == b:
+        return 1.0
+    if len(a) > len(b):
+        a, b = b, a
+    best = []
+    for x in a:
+        each = []
+        for y in b:
+            chance, most = len(x) * len(y) / 2048, min(len(x), len(y))
+            cut = chance + 0.3 * (most - chance)
+            each.append(min(1, max(0, (len(x & y) - cut) / max(1e-9, most - cut))))
+        best.append(max(each))
+    return sum(best) / len(best)
+
+
+def test_fingerprint_filters_and_likeness():
+    rnd = random.Random(11)
+    words = [rnd.choice(SEED) + str(rnd.randrange(400)) for _ in range(9000)]
+    whole = " ".join(words)
+    texts = ["", "short", whole, whole[:30_000], whole[20_000:], " ".join(words[::2]), "z" * 500, whole[:400] + "!" + whole[401:700]]
+    own = [t.encode() for t in texts]
+    starts = [s.tolist() for s in fingerprint.feature_starts(own)]
+    plain = [plain_filters(t, s) for t, s in zip(own, starts)]
+    prints = fingerprint.fingerprints(own)
+    assert max(map(len, plain)) > 3
+    for f, chain in zip(prints, plain):
+        assert [set(np.flatnonzero(np.unpackbits(row)).tolist()) for row in f] == chain
+        bits = bytes(sum(1 << (7 - k) for k in range(8) if 8 * i + k in x) for x in chain for i in range(256))
+        assert fingerprint.digest(f) == f"{len(chain)}:{base64.b64encode(bits).decode()}"
+    for f, x in zip(prints, plain):
+        for g, y in zip(prints, plain):
+            assert fingerprint.likeness(f, g) == pytest.approx(plain_likeness(x, y), abs=2e-6)
+
+
 def test_fingerprints_with_next(docs, rows, none):
     got = fingerprint.compare_with_next(docs, rows_per_bucket=9).collect()
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
