@@ -167,40 +167,48 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _union_shared(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs of sketches, filled up with TOP: (values of the union's sketch that both hold, size of the union's sketch)."""
-    shared, width = np.empty(len(a), np.int64), np.empty(len(a), np.int64)
-    for lo in range(0, len(a), 4096):
-        both = np.sort(np.concatenate([a[lo : lo + 4096], b[lo : lo + 4096]], 1), 1)
+def _filled(sketches: list[np.ndarray], k: int) -> np.ndarray:
+    """Sketches as rows of k values, filled up with TOP."""
+    out = np.full((len(sketches), k), TOP)
+    for row, s in zip(out, sketches):
+        row[: len(s)] = s
+    return out
+
+
+def _similar(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, k: int, percent: int) -> np.ndarray:
+    """Whether the sketch of the union of rows i of a and j of b (see ``_filled``) allows the threshold; a few thousand pairs at a time."""
+    out, least = np.empty(len(i), bool), least_of_large(k, percent)
+    for lo in range(0, len(i), 4096):
+        at = slice(lo, lo + 4096)
+        both = np.sort(np.concatenate([a[i[at]], b[j[at]]], 1), 1)
         twice = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != TOP)
         rank = np.arange(twice.shape[1]) - np.cumsum(twice, 1) + 1  # of a value held twice, among the distinct ones
-        shared[lo : lo + 4096] = (twice & (rank < k)).sum(1)
-        width[lo : lo + 4096] = np.minimum(k, (both != TOP).sum(1) - twice.sum(1))
-    return shared, width
+        shared = (twice & (rank < k)).sum(1)
+        width = np.minimum(k, (both != TOP).sum(1) - twice.sum(1))
+        out[at] = shared * k >= least * width
+    return out
 
 
-def candidates(a: list[np.ndarray], b: list[np.ndarray], k: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of a, row of b, shared retained values) of the pairs whose sketches allow the threshold, most shared first."""
-    low_a, low_b = [s[:k] for s in a], [s[:k] for s in b]
+def candidates(a: list[np.ndarray], b: list[np.ndarray] | None, k: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row of a, row of b) of the pairs whose sketches allow the threshold, most shared values first; rows i < j of a if b is None."""
+    low_a = [s[:k] for s in a]
+    low_b = low_a if b is None else [s[:k] for s in b]
     shared = _overlaps(low_a, low_b)
-    n_a, n_b = (np.array([len(s) for s in x], np.int64) for x in (a, b))
+    n_a = np.array([len(s) for s in a], np.int64)
+    n_b = n_a if b is None else np.array([len(s) for s in b], np.int64)
     least = lambda n: least_shared(n, k, percent, np.where, np.ceil)
     ok = (shared >= least(n_a)[:, None]) & (shared >= least(n_b)[None])
     ok &= (100 * n_a[:, None] >= percent * n_b) & (100 * n_b >= percent * n_a[:, None])
-    i, j = np.nonzero(ok)
-    shared = shared[i, j]
-    if len(i):
-        wide = lambda x: np.stack([np.concatenate([s, np.full(k - len(s), TOP)]) for s in x])
-        cut = np.flatnonzero((n_a[i] > k) | (n_b[j] > k))
-        used_i, at_i = np.unique(i[cut], return_inverse=True)
-        used_j, at_j = np.unique(j[cut], return_inverse=True)
-        if len(cut):
-            both, width = _union_shared(wide([low_a[x] for x in used_i])[at_i], wide([low_b[x] for x in used_j])[at_j], k)
-            fair = np.ones(len(i), bool)
-            fair[cut] = both * k >= least_of_large(k, percent) * width
-            i, j, shared = i[fair], j[fair], shared[fair]
-    order = np.argsort(-shared, kind="stable")
-    return i[order], j[order], shared[order]
+    i, j = np.nonzero(np.triu(ok, 1) if b is None else ok)
+    cut = np.flatnonzero((n_a[i] > k) | (n_b[j] > k))
+    if len(cut):
+        # Sketches longer than any text's set aren't filled up to k.
+        width = min(k, int(max(n_a.max(), n_b.max())))
+        fair = np.ones(len(i), bool)
+        fair[cut] = _similar(_filled(low_a, width), _filled(low_b, width), i[cut], j[cut], k, percent)
+        i, j = i[fair], j[fair]
+    order = np.argsort(-shared[i, j], kind="stable")
+    return i[order], j[order]
 
 
 def block_links(a: list[np.ndarray], b: list[np.ndarray] | None, k: int, percent: int) -> np.ndarray:
@@ -229,10 +237,8 @@ def block_links(a: list[np.ndarray], b: list[np.ndarray] | None, k: int, percent
             out = out[out]
         return out
 
-    i, j, _ = candidates(a, a if b is None else b, k, percent)
+    i, j = candidates(a, b, k, percent)
     j = j + first
-    if b is None:
-        i, j = i[i < j], j[i < j]
     # The best partners first: they join most components.
     best = np.zeros(len(i), bool)
     best[np.unique(i, return_index=True)[1]] = True
