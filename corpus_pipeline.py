@@ -16,8 +16,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiforge.llm import langid, line_dedup, minhash, packing
-from lexiforge.llm.common import discard, made, materialize, read
+from lexiforge.llm.common import broadcast_if, discard, made, materialize, read
 
+MOST_MARKS = 200_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -60,6 +61,7 @@ def near_duplicates(spark, docs, sf_dir):
     marks = marks.groupBy("_id", "_th", "_stays").agg(F.count("*").alias("_times")).filter("not _stays or _times > 1").drop("_times")
     marks = materialize(marks, "marks")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th"))
+    marks = broadcast_if(marks, marks.count(), MOST_MARKS)  # else all texts are shuffled
     out = docs.join(marks, same, "left_anti")
     repeated = marks.filter("_stays")
     if not repeated.isEmpty():
