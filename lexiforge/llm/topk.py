@@ -36,9 +36,10 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 PIVOTS, SAMPLE, BATCH = 256, 4096, 256
-#: Rows of a block: 16 times the root of the table's, between these.
+#: Rows of a block: 32 times the root of the table's, between these.
 LEAST_BLOCK, MOST_BLOCK = 1024, 32768
-EXACT = 2.0**52
+#: Sums below these are exact in doubles and floats.
+EXACT, EXACT_FLOAT = 2.0**52, 2.0**23
 STEPS = 32000
 LONG_MAX = 2**63 - 1
 
@@ -72,6 +73,7 @@ class PivotTable:
     def __init__(self, sample: np.ndarray, reach: float, most: int = PIVOTS):
         dims = sample.shape[1]
         self.exact = reach * reach * 4 * dims < EXACT
+        self.kind = np.float32 if reach * reach * dims < EXACT_FLOAT else np.float64
         self.unit = 1.0 if self.exact else reach
         points = sample / self.unit
         # Far from each other: each next one is the farthest from all before, the first from the sample's mean.
@@ -107,7 +109,7 @@ class PivotTable:
         return (norms - lower * lower) / 2 * (1 if self.exact else 1 + 1e-9) + (0 if self.exact else 1e-9 * norms)
 
     def products(self, q: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Inner products as longs: by doubles where they are exact, else in Python's integers."""
+        """Inner products as longs: by floats or doubles where they are exact, else in Python's integers."""
         if self.exact:
             return (x @ q).astype(np.int64)
         own = [int(v) for v in q]
@@ -138,8 +140,10 @@ def search(pivots: PivotTable, queries: dict, points: dict, k: int, floors: np.n
     order = np.argsort(points["ids"], kind="stable")
     x, ids, norms, rows = points["x"][order], points["ids"][order], points["norms"][order], points["row"][order]
     table = np.ascontiguousarray(points["steps"][order].T)
-    found, evaluated, n = [], 0, len(ids)
-    for i, q in enumerate(queries["x"]):
+    found, evaluated = [], 0
+    if pivots.exact:
+        x = x.astype(pivots.kind)
+    for i, q in enumerate(queries["x"].astype(x.dtype)):
         upper = pivots.bound(_apart(table, queries["steps"][i]), queries["norms"][i] + norms)
         upper[rows == queries["row"][i]] = -np.inf
         scores, best = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -152,14 +156,16 @@ def search(pivots: PivotTable, queries: dict, points: dict, k: int, floors: np.n
                 break
             if len(left) > step:
                 left = left[np.argpartition(-upper[left], step)[:step]]
-            s = pivots.products(q, x)[left] if 2 * len(left) > n else pivots.products(q, x[left])
-            evaluated += n if 2 * len(left) > n else len(left)
+            s = pivots.products(q, x[left])
+            evaluated += len(left)
             upper[left] = -np.inf
+            if len(scores) == k:
+                left, s = left[s >= scores[-1]], s[s >= scores[-1]]
             scores, best = np.concatenate([scores, s]), np.concatenate([best, left])
             top = np.lexsort((best, ~scores))[:k]
             scores, best = scores[top], best[top]
             floor = max(least, pivots.floor_of(scores, k))
-            step *= 4
+            step *= 16
         found.append((np.full(len(best), i), ids[best], scores))
     return *(np.concatenate([f[j] for f in found]) if found else np.empty(0, np.int64) for j in range(3)), evaluated
 
@@ -218,7 +224,7 @@ def exact_top_k(vectors: DataFrame, k: int = 20, query_step: int = 20, scale: in
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([s.tobytes() for s in steps], pa.binary()), pa.array(steps.argmin(1).astype(np.int32))], names=["row", "vec_id", "q", "steps", "cell"])
 
     tables = materialize(whole.select("row", "vec_id", "q").mapInArrow(measure, "row long, vec_id long, q array<double>, steps binary, cell int"), "tables", paths)
-    rows = block_rows or max(LEAST_BLOCK, min(MOST_BLOCK, math.ceil(16 * math.sqrt(facts["n"]))))
+    rows = block_rows or max(LEAST_BLOCK, min(MOST_BLOCK, math.ceil(32 * math.sqrt(facts["n"]))))
     counts = {r["cell"]: r["n"] for r in tables.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # one row a pivot
     cells = _cells(counts, shared.value.pivots, rows)
     placed = F.create_map(*[x for c, (first, parts) in cells.items() for x in (F.lit(c), F.lit(first * (1 << 20) + parts).cast("long"))])[F.col("cell")]
