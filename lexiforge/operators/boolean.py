@@ -234,3 +234,12 @@ def with_urls(ids: DataFrame, urls: DataFrame) -> DataFrame:
     return ids.join(urls, "doc_id", "left")
 
 
+def result_lines(ids: DataFrame, urls: DataFrame) -> DataFrame:
+    """(place, line), in order: how many matches there are, then the URL of each by its id; a document without a URL has an empty line.
+
+    The first line's place is -1, the others' is the document's id. Sorting deals ranges of ids to tasks, so the lines can be written
+    as they are by ``write.text`` from several files in the order of their names.
+    """
+    found = with_urls(ids, urls).select(F.col("doc_id").cast("long").alias("place"), F.coalesce("url", F.lit("")).alias("line"))
+    count = ids.agg(F.count("*").cast("string").alias("line")).select(F.lit(-1).cast("long").alias("place"), "line")
+    return count.unionByName(found).orderBy("place")

@@ -2,8 +2,11 @@
 
 The search is sequential by nature (best first, with a few global stops), so it
 runs in Python, in Arrow batches, over distinct queries. Its model holds the
-log's vocabulary: it is broadcast up to MAX_PREFIXES prefixes, a checked bound;
-beyond it use ``trie.close_words``, which joins.
+log's vocabulary: each of its parts is counted first and broadcast up to
+MAX_ROWS rows, a checked bound; beyond it use ``trie.close_words``, which joins.
+
+Whether a text is known in the other layout is asked of words alone, as the
+vocabularies of the layouts hold words; a query of several words is taken apart.
 """
 
 from __future__ import annotations
@@ -19,10 +22,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.layout import CYRILLIC, LATIN
+from .lm import COUNT_WEIGHT, EDIT_BASE, EMPTY_SCORE, JOIN_FACTOR, LAYOUT_COST, SHARE_WEIGHT
 
-MAX_PREFIXES = 2_000_000
-#: Fixed values of the search: candidates, beam, pops, and its pruning limits.
+MAX_ROWS = 2_000_000
+#: Fixed values of the search: candidates, beam and pops; lengths of words that are searched; the priority over which candidates of words
+#: under SHORT are left, that under which the edge stays, the edge's end and the most edits; weights of an insert's cost and count, of a
+#: deletion's cost and count; the difference in length that a candidate stays under; the factor of a word's share that was left alone.
 BEST, BEAM, POPS = 3, 6, 20_000
+LEAST_LENGTH, MOST_LENGTH, SHORT, SHORT_LIMIT, EDGE_LIMIT, EDGE, MOST_COST = 4, 10, 7, 0.7, 0.32, 5, 3
+INSERT_COST, INSERT_COUNT, DELETE_COST, DELETE_COUNT, LENGTH_GAP, FINE_FACTOR = 0.2, 2, 2, 1 / 4, 3, 100
+MOST_WORDS = 8
 TO_CYRILLIC, TO_LATIN = str.maketrans(LATIN, CYRILLIC), str.maketrans(CYRILLIC, LATIN)
 
 
@@ -34,10 +43,8 @@ class Model:
     seen: set[str]
     prefixes: dict[str, int]
     children: dict[str, str] = field(default_factory=dict)  # prefix -> next characters, ascending
-    swapped: frozenset = frozenset()  # words and queries of the log as typed in the other layout
     total: int = 1
     gate: Callable | None = None
-    strict_reference: bool = False
 
     def share(self, word: str) -> float:
         return self.counts.get(word, 1) / self.total
@@ -51,7 +58,7 @@ class Model:
         return self.costs.get((ctx, tgt), 1.0)
 
     def score(self, cost: float, count: float, word: str) -> float:
-        return 0.025 * math.log2(count) - cost * math.log2(1.2) + 25 * math.log2(1 + self.share(word))
+        return COUNT_WEIGHT * math.log2(count) - cost * math.log2(EDIT_BASE) + SHARE_WEIGHT * math.log2(1 + self.share(word))
 
     def probability(self, words: list[str]) -> float:
         if not words:
@@ -68,18 +75,27 @@ def tokenize(text: str, lower: bool = True) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower() if lower else text)
 
 
-def collect_model(uni: DataFrame, bi: DataFrame, costs: DataFrame, contexts: DataFrame, nodes: DataFrame, log: DataFrame | None = None) -> Model:
-    """The model on the driver, if its prefixes are within the bound."""
-    if (n := nodes.count()) > MAX_PREFIXES:
-        raise ValueError(f"{n} prefixes are too many to broadcast; use trie.close_words")
-    counts = {r["word"]: r["cnt"] for r in uni.collect()}
-    m = Model(counts, {(r["w1"], r["w2"]): r["p"] for r in bi.collect()}, {(r["ctx"], r["tgt"]): r["cost"] for r in costs.collect()}, {r["ctx"] for r in contexts.collect()}, {r["prefix"]: r["cnt"] for r in nodes.collect()})
+def collect_model(uni: DataFrame, bi: DataFrame, costs: DataFrame, contexts: DataFrame, nodes: DataFrame) -> Model:
+    """The model on the driver, if each of its parts is within the bound."""
+
+    def rows(name: str, df: DataFrame) -> list:
+        # One row over the bound tells; no more is ever collected.
+        found = df.limit(MAX_ROWS + 1).collect()
+        if len(found) > MAX_ROWS:
+            raise ValueError(f"over {MAX_ROWS} {name} are too many to broadcast; use trie.close_words")
+        return found
+
+    counts = {r["word"]: r["cnt"] for r in rows("words", uni.select("word", "cnt"))}
+    m = Model(
+        counts,
+        {(r["w1"], r["w2"]): r["p"] for r in rows("pairs of words", bi.select("w1", "w2", "p"))},
+        {(r["ctx"], r["tgt"]): r["cost"] for r in rows("edits", costs.select("ctx", "tgt", "cost"))},
+        {r["ctx"] for r in rows("contexts", contexts.select("ctx"))},
+        {r["prefix"]: r["cnt"] for r in rows("prefixes", nodes.select("prefix", "cnt"))},
+    )
     m.total = max(1, sum(counts.values()))
     for p in sorted(m.prefixes):
         m.children[p[:-1]] = m.children.get(p[:-1], "") + p[-1]
-    if log is not None:
-        texts = {r["right"].lower() for r in log.select("right").distinct().limit(MAX_PREFIXES).collect()} | set(counts)
-        m.swapped = frozenset(texts)
     return m
 
 
@@ -87,7 +103,7 @@ def fuzzy_search(m: Model, word: str) -> list[tuple[float, str]]:
     """Up to BEST (score, candidate) in the order found; the word itself, scored 0, if there is none."""
     word = word.lower()
     n = len(word)
-    if not 4 <= n <= 10:
+    if not LEAST_LENGTH <= n <= MOST_LENGTH:
         return [(0.0, word)]
     queue: list[tuple] = []
     serial = 0
@@ -112,15 +128,15 @@ def fuzzy_search(m: Model, word: str) -> list[tuple[float, str]]:
     while queue and len(found) < BEST and pops < POPS:
         pops += 1
         low, _, pos, prefix, cost = heapq.heappop(queue)
-        if low > 0.7 and n < 7:
+        if low > SHORT_LIMIT and n < SHORT:
             continue
-        edge = 0 if low < 0.32 else edge + 1
-        if edge > 5:
+        edge = 0 if low < EDGE_LIMIT else edge + 1
+        if edge > EDGE:
             break
-        if cost > 3:
+        if cost > MOST_COST:
             continue
         if pos == n:
-            if abs(n - len(prefix)) < 3 and all(prefix != w for _, w in found):
+            if abs(n - len(prefix)) < LENGTH_GAP and all(prefix != w for _, w in found):
                 found.append((m.score(cost, m.prefixes[prefix], prefix), prefix))
             continue
         last, typed = prefix[-1], word[pos]
@@ -128,10 +144,10 @@ def fuzzy_search(m: Model, word: str) -> list[tuple[float, str]]:
             push(s, pos + 1, longer, e)
         inserts = sorted(((m.cost(last + "_", last + c), c) for c in m.children.get(prefix, "")), key=lambda x: x[0])[:BEAM]
         for e, c in inserts:
-            e = cost + 0.2 * e
-            push(m.score(e, 2 * m.prefixes[prefix + c], prefix + c), pos, prefix + c, e)
-        e = cost + 2 * m.cost(last + typed, last + "_")
-        push(m.score(e, m.prefixes[prefix] / 4, prefix), pos + 1, prefix, e)
+            e = cost + INSERT_COST * e
+            push(m.score(e, INSERT_COUNT * m.prefixes[prefix + c], prefix + c), pos, prefix + c, e)
+        e = cost + DELETE_COST * m.cost(last + typed, last + "_")
+        push(m.score(e, m.prefixes[prefix] * DELETE_COUNT, prefix), pos + 1, prefix, e)
     return found or [(0.0, word)]
 
 
@@ -164,16 +180,14 @@ def best(items: list, key: Callable, tie: Callable):
 
 def layout_known(m: Model, text: str) -> str | None:
     """The text in the other layout, if the log knows it."""
-    other, changed, lang = swap_layout(text)
-    if changed and (other.lower() in m.swapped or (m.strict_reference and lang == 1 and m.swapped)):
-        return other.lower()
-    return None
+    other, changed, _ = swap_layout(text)
+    return other.lower() if changed and other.lower() in m.counts else None
 
 
 def layout_score(m: Model, word: str) -> float:
     if not word:
-        return -1000.0
-    return m.score(0.0, m.prefixes[word], word) if word in m.prefixes else m.score(0.7, 1, word)
+        return EMPTY_SCORE
+    return m.score(0.0, m.prefixes[word], word) if word in m.prefixes else m.score(LAYOUT_COST, 1, word)
 
 
 def correct(m: Model, query: str) -> str:
@@ -184,7 +198,7 @@ def correct(m: Model, query: str) -> str:
     current = query
     for turn in (1, 2):
         words = tokenize(current)
-        if turn == 1 and not 1 <= len(words) <= 8:
+        if turn == 1 and not 1 <= len(words) <= MOST_WORDS:
             return query
         if fine(m.features(current)):
             other = layout_known(m, current)
@@ -193,7 +207,7 @@ def correct(m: Model, query: str) -> str:
             return restore(current, seps, cased)
         candidates = []
         for w in words:
-            own = [(100 * m.share(w), w)] if fine(m.features(w)) else fuzzy_search(m, w)
+            own = [(FINE_FACTOR * m.share(w), w)] if fine(m.features(w)) else fuzzy_search(m, w)
             other = layout_known(m, w)
             if other is not None:
                 own = [*own, (layout_score(m, other), other)]
@@ -231,7 +245,7 @@ def join_neighbours(m: Model, candidates: list[list]) -> list[list]:
         if i + 1 < len(candidates):
             joined = next((a + b for _, a in candidates[i] for _, b in candidates[i + 1] if m.known(a + b)), None)
         if joined:
-            out.append([(100000 * m.share(joined), joined)])
+            out.append([(JOIN_FACTOR * m.share(joined), joined)])
             i += 2
         else:
             out.append(candidates[i])
@@ -239,14 +253,16 @@ def join_neighbours(m: Model, candidates: list[list]) -> list[list]:
     return out
 
 
-def _over_distinct(spark: SparkSession, queries: DataFrame, m: Model, f: Callable, schema: str) -> DataFrame:
+def _over_distinct(spark: SparkSession, queries: DataFrame, m: Model, f: Callable, schema: str, tasks: int | None = None) -> DataFrame:
+    """``f`` of each distinct text, in as many tasks as there are shuffle partitions, or ``tasks``: few bytes, but much work each."""
     shared = spark.sparkContext.broadcast(m)
 
     def run(frames):
         for df in frames:
             yield pd.DataFrame([(t, *r) for t in df["text"] for r in f(shared.value, t)], columns=[c.split()[0] for c in schema.split(", ")])
 
-    return queries.select("text").filter("text is not null").distinct().mapInPandas(run, schema)
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return queries.select("text").filter("text is not null").distinct().repartition(tasks, "text").mapInPandas(run, schema)
 
 
 def search_words(spark: SparkSession, words: DataFrame, m: Model) -> DataFrame:
@@ -255,6 +271,6 @@ def search_words(spark: SparkSession, words: DataFrame, m: Model) -> DataFrame:
 
 
 def correct_queries(spark: SparkSession, queries: DataFrame, m: Model) -> DataFrame:
-    """(qid, text, fixed); each distinct text is corrected once."""
+    """(qid, text, fixed) of each row, equal and null ids too; each distinct text is corrected once, a null one stays null."""
     fixed = _over_distinct(spark, queries, m, lambda x, t: [(correct(x, t),)], "text string, fixed string")
     return queries.select("qid", "text").join(fixed, "text", "left").select("qid", "text", F.col("fixed"))

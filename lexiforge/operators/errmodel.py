@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.text import query_words
+from .lm import EDIT_BASE
 
 
 def edit_script(right: str, wrong: str) -> list[tuple[str, int, int]]:
@@ -74,7 +75,7 @@ def _keys(right: pd.Series, wrong: pd.Series) -> pd.Series:
 def word_pairs(log: DataFrame) -> DataFrame:
     """(right, wrong) words at the same place, of lines with two columns and equally many words."""
     a, b = query_words(F.col("right")), query_words(F.col("wrong"))
-    both = log.filter("wrong is not null").select(a.alias("a"), b.alias("b")).filter(F.size("a") == F.size("b"))
+    both = log.filter("ncols = 2").select(a.alias("a"), b.alias("b")).filter(F.size("a") == F.size("b"))
     return both.select(F.explode(F.arrays_zip("a", "b")).alias("x")).select(F.col("x.a").alias("right"), F.col("x.b").alias("wrong"))
 
 
@@ -107,7 +108,7 @@ def seen_contexts(pairs: DataFrame) -> DataFrame:
     return pairs.filter(F.length("right") > 0).select(F.explode(places).alias("ctx")).groupBy("ctx").agg(F.count("*").alias("total"))
 
 
-def edit_probability(pairs: DataFrame, costs: DataFrame, base: float = 1.2) -> DataFrame:
+def edit_probability(pairs: DataFrame, costs: DataFrame, base: float = EDIT_BASE) -> DataFrame:
     """(right, wrong, prob): base to the power of minus the summed costs; a sum of 0 counts as 1, unseen edits cost 1."""
     long = pairs.distinct().select("right", "wrong", F.explode_outer(_keys("right", "wrong")).alias("x")).select("right", "wrong", F.col("x.ctx").alias("ctx"), F.col("x.tgt").alias("tgt"))
     cost = F.when(F.col("ctx").isNull(), 0.0).otherwise(F.coalesce("cost", F.lit(1.0)))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, RegexTokenizer, VectorAssembler
 from pyspark.mllib.linalg.distributed import RowMatrix
@@ -15,16 +17,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 COLUMNS = ["prob", "n_chars", "n_words", "n_other", "n_known"]
-THRESHOLD = 0.995
+#: The probability of being fine from which a text is left alone, and the rounds of boosting.
+THRESHOLD, ROUNDS = 0.995, 150
 
 
 def balanced(rows: DataFrame, label: str = "need_fix", seed: int = 7) -> DataFrame:
-    """Both labels about equally often: the rarer one is drawn with replacement."""
+    """Both labels about equally often: rows of the rarer one are repeated, the odd copy drawn by a hash of the row, so a lost task gives the same rows again."""
     n = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
     if len(n) < 2:
         return rows
     rare = min(n, key=n.get)
-    return rows.filter(F.col(label) != rare).unionByName(rows.filter(F.col(label) == rare).sample(True, max(n.values()) / n[rare], seed))
+    times = max(n.values()) / n[rare]
+    odd = F.pmod(F.xxhash64(*rows.columns, F.lit(seed)), F.lit(1 << 20)) < int((times - int(times)) * (1 << 20))
+    copies = F.lit(int(times)) + odd.cast("int")
+    again = rows.filter(F.col(label) == rare).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).drop("_copy")
+    return rows.filter(F.col(label) != rare).unionByName(again)
 
 
 def folds(rows: DataFrame, k: int, key: str = "qid"):
@@ -34,34 +41,62 @@ def folds(rows: DataFrame, k: int, key: str = "qid"):
         yield balanced(rows.filter(fold != i)), rows.filter(fold == i)
 
 
-def train(features: DataFrame, rounds: int = 20):
+def train(features: DataFrame, rounds: int = ROUNDS):
     """Boosted trees over the five features; ``features`` has need_fix."""
     return Pipeline(stages=[VectorAssembler(inputCols=COLUMNS, outputCol="features"), GBTClassifier(labelCol="need_fix", maxIter=rounds, maxDepth=3, seed=1)]).fit(balanced(features))
 
 
+def f1_of_folds(features: DataFrame, k: int = 5, rounds: int = ROUNDS, columns: list[str] | None = None) -> DataFrame:
+    """(fold, f1): each fold's F1 of need_fix by trees trained on the others, which are balanced; on five features or the given columns."""
+    out = []
+    for i, (rest, own) in enumerate(folds(features, k)):
+        stages = [VectorAssembler(inputCols=columns or COLUMNS, outputCol="features"), GBTClassifier(labelCol="need_fix", maxIter=rounds, maxDepth=3, seed=1)]
+        found = Pipeline(stages=stages).fit(rest).transform(own)
+        hit, said, is_so = (F.sum((F.col(c).cast("int")) if isinstance(c, str) else c.cast("int")) for c in ((F.col("prediction") == 1) & (F.col("need_fix") == 1), F.col("prediction") == 1, F.col("need_fix") == 1))
+        r = found.agg(hit.alias("h"), said.alias("s"), is_so.alias("t")).first()
+        out.append((i, 2 * (r["h"] or 0) / max(1, (r["s"] or 0) + (r["t"] or 0))))
+    return features.sparkSession.createDataFrame(out, "fold int, f1 double")
+
+
 def predict(model, features: DataFrame) -> DataFrame:
     """(qid, p_fine, fine)."""
     p = F.element_at(vector_to_array("probability"), 1)
     return model.transform(features).select("qid", p.alias("p_fine"), (p >= THRESHOLD).alias("fine"))
 
 
-
-
 @dataclass
 class InlineGate:
+    """The trained trees as a plain function, for use inside the correction loop: whether P(fine) reaches the threshold.
+
+    A node is a value, or (feature, threshold, node at or below it, node above).
+    """
+
+    trees: list
     weights: list[float]
-    bias: float
-    threshold: float
+    threshold: float = THRESHOLD
+
+    def p_fine(self, x: list[float]) -> float:
+        margin = 0.0
+        for node, weight in zip(self.trees, self.weights):
+            while isinstance(node, tuple):
+                node = node[2] if x[node[0]] <= node[1] else node[3]
+            margin += weight * node
+        return 1 / (1 + math.exp(max(-500.0, min(500.0, 2 * margin))))
 
     def __call__(self, x: list[float]) -> bool:
-        z = self.bias + sum(a * v for a, v in zip(self.weights, x))
-        return 1 / (1 + math.exp(min(500, z))) >= self.threshold
+        return self.p_fine(x) >= self.threshold
+
 
+def inline_gate(model, threshold: float = THRESHOLD) -> InlineGate:
+    """A model of ``train`` as a plain function of the five features."""
 
-def inline_gate(features: DataFrame, threshold: float = THRESHOLD):
-    """A logistic gate as a plain function of the five features, for use inside the correction loop."""
-    model = Pipeline(stages=[VectorAssembler(inputCols=COLUMNS, outputCol="features"), LogisticRegression(labelCol="need_fix", regParam=1e-4)]).fit(balanced(features)).stages[-1]
-    return InlineGate(model.coefficients.toArray().tolist(), float(model.intercept), threshold)
+    def plain(node):
+        if node.getClass().getSimpleName() == "LeafNode":
+            return node.prediction()
+        return node.split().featureIndex(), node.split().threshold(), plain(node.leftChild()), plain(node.rightChild())
+
+    boosted = model.stages[-1]
+    return InlineGate([plain(t._java_obj.rootNode()) for t in boosted.trees], list(boosted.treeWeights), threshold)
 
 
 def tfidf(texts: DataFrame, vocabulary: int | None = None):
@@ -80,9 +115,29 @@ def tfidf(texts: DataFrame, vocabulary: int | None = None):
     return model, model.transform(texts).select("qid", "vector")
 
 
-def svd(vectors: DataFrame, k: int = 15) -> DataFrame:
-    """(component, singular_value), descending: at most k of the distributed matrix."""
+def _decomposed(vectors: DataFrame, k: int, project: bool):
     rows = vectors.select("vector").rdd.map(lambda r: OldVectors.fromML(r[0]))
     m = RowMatrix(rows)
-    s = m.computeSVD(min(k, m.numCols()), computeU=False).s.toArray().tolist()
+    return m.computeSVD(min(k, m.numCols()), computeU=project)
+
+
+def svd(vectors: DataFrame, k: int = 15) -> DataFrame:
+    """(component, singular_value), descending: at most k of the distributed matrix."""
+    s = _decomposed(vectors, k, False).s.toArray().tolist()
     return vectors.sparkSession.createDataFrame([(i, v) for i, v in enumerate(s)], "component int, singular_value double")
+
+
+def projected(vectors: DataFrame, k: int = 15) -> DataFrame:
+    """(qid, c0, c1, ...): each row of vectors (qid, vector) on the first k right singular vectors, a matrix of words by k that is broadcast."""
+    found = _decomposed(vectors, k, False)
+    shared = vectors.sparkSession.sparkContext.broadcast(found.V.toArray())
+    names = [f"c{i}" for i in range(shared.value.shape[1])]
+
+    def run(frames):
+        for df in frames:
+            out = [np.asarray(values) @ shared.value[np.asarray(at, int)] for at, values in zip(df["at"], df["values"])]
+            yield pd.DataFrame([(q, *x.tolist()) for q, x in zip(df["qid"], out)], columns=["qid", *names])
+
+    kind = vectors.schema["qid"].dataType.simpleString()
+    parts = vectors.select("qid", F.unwrap_udt("vector").alias("v")).select("qid", F.col("v.indices").alias("at"), F.col("v.values").alias("values"))
+    return parts.mapInPandas(run, ", ".join([f"qid {kind}", *(f"{c} double" for c in names)]))

@@ -12,6 +12,7 @@ from ..operators import boolean, codec, correct, errmodel, gate, index, lm, trie
 from ..sources import crawl, querylog
 from ..sources.querylog import LOG_SQL, sql_literal
 from ..streaming import stream
+from . import saved
 from .storage import shared_dir, table
 
 FLAGSHIP = "(the&and)|!of"
@@ -39,6 +40,11 @@ BOOLEAN = {
     "bool_precedence": "der|the&and",
 }
 BATCH = ["the&and", "!of", FLAGSHIP, "der|le", "the and", "zzzzqq", "(the"]
+STREAM = [*BATCH, "", BATCH[0]]
+#: Header and text of archive records; the texts' first character goes, and so does a part of one character.
+CRAWL = [(f"header http://example.org/{i} end", f".text {i}\nline") for i in range(5)] + [("no url", ".x"), ("http://example.org/short", "s")]
+ROUNDS = 20
+_gates: dict = {}
 
 
 def read(spark, sf, name):
@@ -105,11 +111,33 @@ def tok_count_per_doc(spark, sf):
 
 
 def simple9_roundtrip(spark, sf):
-    """Lists through the codec and back; lists are made by ranges of ids, so no row grows without bound."""
-    part = F.floor(F.col("doc_id") / 65536)
-    lists = postings(spark, sf).groupBy("term", part.alias("part")).agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    words = lists.select("term", F.size("ids").alias("n"), codec.simple9_encode("ids").alias("words"))
-    return words.select("term", F.explode(codec.simple9_decode("words", "n")).alias("doc_id"))
+    """Lists through the codec and back; a list holds the ids of one range, less its start, so neither rows nor ids are bounded."""
+    part = F.floor(F.col("doc_id") / codec.RANGE)
+    lists = postings(spark, sf).groupBy("term", part.alias("part")).agg(F.array_sort(F.collect_list(F.col("doc_id") - part * codec.RANGE)).alias("ids"))
+    words = lists.select("term", "part", F.size("ids").alias("n"), codec.simple9_encode("ids").alias("words"))
+    return words.select("term", "part", F.explode(codec.simple9_decode("words", "n")).alias("at")).select("term", (F.col("at") + F.col("part") * codec.RANGE).alias("doc_id"))
+
+
+def saved_index(spark, sf):
+    """An index folder, written here and opened anew."""
+    folder = shared_dir(spark, "index")
+    saved.save_index(documents(spark, sf), read(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), "url"), folder)
+    return saved.load_index(spark, folder)
+
+
+def index_reload(spark, sf):
+    return saved_index(spark, sf).postings.select("term", "doc_id")
+
+
+def simple9_index(spark, sf):
+    """The postings of a saved index's blobs."""
+    return codec.postings_of(saved_index(spark, sf).blobs).select("term", "doc_id")
+
+
+def search_saved(spark, sf):
+    """The matches of a saved index with their URLs."""
+    own = saved_index(spark, sf)
+    return boolean.with_urls(boolean.search(boolean.parse(FLAGSHIP), own.postings, own.ids), own.urls)
 
 
 def url_extract(spark, sf):
@@ -133,6 +161,34 @@ def result_counts(spark, sf):
     return _flags("the&and", spark, sf).agg(F.count("*").alias("n"))
 
 
+def result_lines(spark, sf):
+    """The answer to one query as lines: the count, then the URLs."""
+    urls = read(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), "url")
+    return boolean.result_lines(_flags("the&and", spark, sf), urls)
+
+
+def lines(spark, sf):
+    """Log lines of one, two and three columns."""
+    p = read(spark, sf, "part")
+    k = F.col("p_partkey") % 3
+    value = F.when(k == 0, F.col("p_name")).when(k == 1, F.concat_ws("\t", "p_brand", "p_name")).otherwise(F.concat_ws("\t", "p_type", "p_name", "p_brand"))
+    return querylog.parse_lines(p.select(value.alias("value")))
+
+
+def log_lines(spark, sf):
+    """How many lines give each pair of columns."""
+    return lines(spark, sf).groupBy("wrong", "right", "ncols").agg(F.count("*").alias("n"))
+
+
+def log_lines_labelled(spark, sf):
+    return querylog.labelled(lines(spark, sf).withColumn("qid", F.lit(0))).groupBy("text", "need_fix").agg(F.count("*").alias("n"))
+
+
+def log_lines_pairs(spark, sf):
+    """Training pairs: only lines of two columns and equally many words on both sides."""
+    return errmodel.word_pairs(lines(spark, sf)).groupBy("right", "wrong").agg(F.count("*").alias("n"))
+
+
 def log(spark, sf):
     return querylog.log_of_parts(read(spark, sf, "part"))
 
@@ -179,8 +235,7 @@ def lm_query_prob(spark, sf):
 
 
 def feature_table(spark, sf):
-    queries = typed(spark, sf)
-    return lm.features(queries, lm.query_probability(queries, unigrams(spark, sf), bigrams(spark, sf), facts(spark, sf)), unigrams(spark, sf))
+    return lm.features(typed(spark, sf), unigrams(spark, sf), bigrams(spark, sf), facts(spark, sf))
 
 
 def features(spark, sf):
@@ -205,7 +260,7 @@ def err_counts_all(spark, sf):
 
 def err_probability(spark, sf):
     pairs = errmodel.word_pairs(log(spark, sf))
-    return errmodel.edit_probability(pairs, errmodel.edit_costs(errmodel.edit_counts(pairs)))
+    return errmodel.edit_probability(pairs, errmodel.edit_costs(errmodel.edit_counts(pairs))).withColumn("prob", F.round("prob", 9))
 
 
 def nodes(spark, sf):
@@ -282,11 +337,45 @@ def lookahead_score(spark, sf):
     return bigrams(spark, sf).join(unigrams(spark, sf).select(F.col("word").alias("w2"), F.col("p").alias("p1")), "w2").groupBy("w1").agg(F.round(F.max(F.col("p") * F.col("p1")), 9).alias("score"))
 
 
+def typed_candidates(spark, sf):
+    """Two candidates for each typed word: itself and its reverse."""
+    both = F.array(F.struct(F.lit(0).alias("idx"), F.col("word").alias("word")), F.struct(F.lit(1).alias("idx"), F.reverse("word").alias("word")))
+    return typed_words(spark, sf).select("qid", "pos", F.explode(both).alias("x")).select("qid", "pos", "x.idx", "x.word")
+
+
+def lookahead_candidates(spark, sf):
+    """Each candidate's best probability with a candidate of the next word."""
+    found = lm.lookahead(typed_candidates(spark, sf), unigrams(spark, sf), bigrams(spark, sf), facts(spark, sf))
+    return found.select("qid", "pos", "idx", "word", F.round("score", 12).alias("score"))
+
+
+def argmax_candidates(spark, sf):
+    """For each first letter of a first word the best next word by share of its bigram; ties by its own share, then the earlier."""
+    b = bigrams(spark, sf).select(F.substring("w1", 1, 1).alias("letter"), F.concat_ws(" ", "w2").alias("text"), F.round("p", 6).alias("score"), F.row_number().over(Window.orderBy("w2", "w1")).alias("idx"))
+    return lm.argmax(b, unigrams(spark, sf), facts(spark, sf), ["letter"])
+
+
+def trie_inserts(spark, sf):
+    pairs = errmodel.word_pairs(log(spark, sf))
+    found = trie.cheapest_inserts(nodes(spark, sf), errmodel.edit_costs(errmodel.edit_counts(pairs)), errmodel.seen_contexts(pairs))
+    return found.withColumn("cost", F.round("cost", 9))
+
+
+def layout_vocabularies(spark, sf):
+    """What typed words of either script are in the other layout, both ways."""
+    return layout.vocabularies(typed_words(spark, sf).select("word").distinct())
+
+
 def fuzzy_lev1_candidates(spark, sf):
     words = trie_lookup(spark, sf).select("word")
     return trie.close_words(words, unigrams(spark, sf).select("word"))
 
 
+def fuzzy_lev2_candidates(spark, sf):
+    words = trie_lookup(spark, sf).select("word")
+    return trie.close_words(words, unigrams(spark, sf).select("word"), distance=2)
+
+
 def recover_case(spark, sf):
     p = read(spark, sf, "part")
     cased = F.initcap("p_name")
@@ -298,37 +387,55 @@ def recover_separators(spark, sf):
     return p.select("p_partkey", text.restore_separators(F.lower("q"), text.query_words(F.col("q")), text.separators(F.col("q")), text.query_words_cased(F.col("q"))).alias("restored"))
 
 
+def recover_whole_names(spark, sf):
+    """Whole names, typed with commas, capitals and an end, from their words alone."""
+    typed = F.concat(F.array_join(F.transform(F.split("p_name", " "), F.initcap), ", "), F.lit("!"))
+    p = read(spark, sf, "part").select("p_partkey", typed.alias("q"))
+    return p.select("p_partkey", text.restore_separators(F.lower("q"), text.query_words(F.col("q")), text.separators(F.col("q")), text.query_words_cased(F.col("q"))).alias("restored"))
+
+
 def non_words(spark, sf):
     seps = text.separators(F.col("text"))
     return documents(spark, sf).select("doc_id", F.size(seps).cast("long").alias("n"), F.array_join(seps, "|").alias("joined"))
 
 
-def model(spark, sf, gated: bool = True):
-    pairs = errmodel.word_pairs(log(spark, sf))
-    m = correct.collect_model(unigrams(spark, sf), bigrams(spark, sf), errmodel.edit_costs(errmodel.edit_counts(pairs)), errmodel.seen_contexts(pairs), nodes(spark, sf), log(spark, sf))
-    if gated:
-        m.gate = gate.inline_gate(labelled_features(spark, sf))
-    return m
-
-
 def fuzzy_search(spark, sf):
     words = trie_lookup(spark, sf).select(F.col("word").alias("text"))
-    return correct.search_words(spark, words, model(spark, sf, gated=False))
+    return correct.search_words(spark, words, models(spark, sf, gated=False).collected())
 
 
 def correct_query(spark, sf):
-    return correct.correct_queries(spark, typed(spark, sf), model(spark, sf))
+    return correct.correct_queries(spark, typed(spark, sf), models(spark, sf).collected())
 
 
 def labelled_features(spark, sf):
     rows = querylog.labelled(log(spark, sf)).withColumn("qid", F.xxhash64("qid", "need_fix"))
-    queries = rows.select("qid", "text")
-    f = lm.features(queries, lm.query_probability(queries, unigrams(spark, sf), bigrams(spark, sf), facts(spark, sf)), unigrams(spark, sf))
-    return f.join(rows.select("qid", "need_fix"), "qid")
+    return lm.features(rows, unigrams(spark, sf), bigrams(spark, sf), facts(spark, sf))
+
+
+def trained_gate(spark, sf):
+    """The gate, trained once for each source folder; ROUNDS rounds here, 150 by default."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _gates:
+        _gates[key] = gate.train(labelled_features(spark, sf), ROUNDS)
+    return _gates[key]
 
 
 def gate_predict(spark, sf):
-    return gate.predict(gate.train(labelled_features(spark, sf)), feature_table(spark, sf))
+    return gate.predict(trained_gate(spark, sf), feature_table(spark, sf))
+
+
+def models(spark, sf, gated: bool = True):
+    pairs = errmodel.word_pairs(log(spark, sf))
+    costs = errmodel.edit_costs(errmodel.edit_counts(pairs))
+    return saved.Models(unigrams(spark, sf), bigrams(spark, sf), costs, errmodel.seen_contexts(pairs), nodes(spark, sf), trained_gate(spark, sf) if gated else None)
+
+
+def models_reload(spark, sf):
+    """The bigrams of a model folder, written here and opened anew."""
+    folder = shared_dir(spark, "models")
+    saved.save_models(models(spark, sf, gated=False), folder)
+    return saved.load_models(spark, folder).bigrams.select("w1", "w2", "cnt", F.round("p", 12).alias("p"))
 
 
 def tfidf_svd(spark, sf):
@@ -347,20 +454,27 @@ def _written(spark, label, name, data: str | bytes) -> str:
 
 
 def stream_bool(spark, sf):
-    folder = _written(spark, "stream-in", "q.txt", "\n".join([*BATCH, ""]))
+    """Lines of a file, one of them empty and one repeated; each is answered by its number."""
+    folder = _written(spark, "stream-in", "q.txt", "\n".join([*STREAM, ""]))
     out = shared_dir(spark, "stream-out")
     stream.search_stream(spark, folder, out, shared_dir(spark, "stream-state"), postings(spark, sf), ids(spark, sf))
-    return spark.read.parquet(out).select("query", "doc_id", "error")
+    return spark.read.parquet(out).select("line", "query", "doc_id", F.col("error").isNull().alias("answered"))
 
 
 def crawl_source(spark, sf):
     """An archive of a few records through the crawl source."""
-    items = [(f"header http://example.org/{i} end", f".text {i}\nline") for i in range(5)] + [("no url", ".x")]
-    folder = _written(spark, "crawl", "a.gz", crawl.write_records(items))
-    return crawl.read_crawl(spark, [folder]).select("doc_id", "url", "text")
+    return crawl.read_crawl(spark, [_written(spark, "crawl", "a.gz", crawl.write_records(CRAWL))]).select("doc_id", "url", "text")
+
+
+def crawl_paths(spark, sf):
+    """An archive, a folder and the archive again: records count as often as their path is given, in that order."""
+    one = _written(spark, "crawl", "a.gz", crawl.write_records(CRAWL)) + "/a.gz"
+    two = _written(spark, "crawl", "b.gz", crawl.write_records(CRAWL[::-1]))
+    return crawl.read_crawl(spark, [one, two, one]).select("doc_id", "url", "text")
 
 
 PLAIN = [
+    index_reload, simple9_index, search_saved, models_reload, result_lines, log_lines, log_lines_labelled, log_lines_pairs, lookahead_candidates, argmax_candidates, trie_inserts, layout_vocabularies, fuzzy_lev2_candidates, recover_whole_names, crawl_paths,
     bool_setops, bool_arrays, bool_scan, bool_batch, bool_errors, idx_postings, idx_df, idx_dict_size, tok_count_per_doc, simple9_roundtrip, url_extract, text_clean, url_lines,
     result_urls, result_counts, log_columns, log_labelled, lm_unigram, lm_bigram, lm_smooth, lm_query_prob, features, err_counts_single, err_cost_single, err_context, err_counts_all,
     err_probability, trie_prefix, trie_topk_children, trie_lookup, layout_swap, script_detect, layout_vocab, layout_known, layout_score, join_candidates, join_score, argmax_tiebreak,
@@ -410,6 +524,16 @@ EDITS = """one as (select r, w, len(list_filter(range(1, least(length(r), length
 pc as (select *, case when l = 0 then '^' else substr(r, l, 1) end c from one),
 err as (select case when length(w) > length(r) then c || '_' else c || substr(r, l + 1, 1) end ctx,
   case when length(w) < length(r) then c || '_' else c || substr(w, l + 1, 1) end tgt, count(*) + 1 cnt from pc group by 1, 2)"""
+#: Pairs that need one edit, or have no character in common: every character replaced. The log makes no others.
+EDITS_ALL = EDITS.replace("err as (select", "ones as (select").replace("count(*) + 1 cnt from pc group by 1, 2)", """1 cnt from pc),
+apart as (select r, w, unnest(range(1, length(r) + 1)) i from pairs where length(r) = length(w) and levenshtein(r, w) = length(r) and length(r) > 1),
+every as (select r, w, ctx, tgt from (select r, w, case when length(w) > length(r) then c || '_' else c || substr(r, l + 1, 1) end ctx,
+  case when length(w) < length(r) then c || '_' else c || substr(w, l + 1, 1) end tgt from pc)
+  union all select r, w, p || substr(r, i, 1), p || substr(w, i, 1) from (select r, w, i, case when i = 1 then '^' else substr(r, i - 1, 1) end p from apart)),
+err as (select ctx, tgt, count(*) + 1 cnt from every group by 1, 2),
+cost as (select ctx, tgt, case when ctx = tgt then 0 else 1 - cnt / sum(cnt) over (partition by ctx) end::double cost from err)""")
+LINES = r"""ls as (select p_partkey, case p_partkey % 3 when 0 then [p_name] when 1 then [p_brand, p_name] else [p_type, p_name, p_brand] end cols from part),
+parsed as (select case when len(cols) > 1 then cols[1] end wrong, case len(cols) when 1 then cols[1] else cols[2] end right_q, len(cols)::int ncols from ls)"""
 TRIE = "trie as (select prefix, sum(cnt)::bigint cnt from (select substr(word, 1, i) prefix, cnt from (select word, cnt, unnest(range(1, length(word) + 1)) i from uni)) group by 1)"
 LOOKUP = f"lookup as (select distinct unnest(regexp_extract_all(lower(wrong), {P})) word from log where wrong is not null)"
 SCORE = "0.025 * log2({c}) - {cost} * log2(1.2) + 25 * log2(1 + {p})"
@@ -427,6 +551,32 @@ ORACLE_SQL = {name: _bool_sql(q) for name, q in BOOLEAN.items()} | {
     "bool_errors": " union all ".join(f"select {i}::bigint qid" for i, q in enumerate(BATCH) if not _valid(q)),
     "idx_postings": f"with {POSTINGS} select term, doc_id from post",
     "simple9_roundtrip": f"with {POSTINGS} select term, doc_id from post",
+    "index_reload": f"with {POSTINGS} select term, doc_id from post",
+    "simple9_index": f"with {POSTINGS} select term, doc_id from post",
+    "search_saved": f"with {TOKENS} select t.doc_id, p.url from tok t left join pages p on p.page_id = t.doc_id where {_predicate_sql(FLAGSHIP)}",
+    "models_reload": f"with {LM} select w1, w2, (select count(*) from words, unnest(range(1, len(ws))) u(i) where ws[i] = w1 and ws[i + 1] = w2) cnt, round(p, 12) p from bi",
+    "result_lines": f"with {TOKENS}, hit as (select doc_id from tok where {_predicate_sql('the&and')}) select -1::bigint place, count(*)::varchar line from hit union all select h.doc_id, coalesce(p.url, '') from hit h left join pages p on p.page_id = h.doc_id",
+    "log_lines": f'with {LINES} select wrong, right_q as "right", ncols, count(*) n from parsed group by 1, 2, 3',
+    "log_lines_labelled": f"with {LINES} select text, need_fix, count(*) n from (select lower(wrong) as text, 1::int need_fix from parsed where ncols = 2 union all select lower(right_q), 0::int from parsed where ncols < 3 union all select lower(wrong), 0::int from parsed where ncols = 3) group by 1, 2",
+    "log_lines_pairs": f'with {LINES}, ws as (select regexp_extract_all(lower(right_q), {P}) a, regexp_extract_all(lower(wrong), {P}) b from parsed where ncols = 2) select a[i] as "right", b[i] wrong, count(*) n from (select a, b, unnest(range(1, len(a) + 1)) i from ws where len(a) = len(b)) group by 1, 2',
+    "lookahead_candidates": f"""with {LM}, {TYPED}, own as (select qid, unnest(range(1, len(ws) + 1)) - 1 pos, unnest(ws) word from tw), cand as (select qid, pos, 0 idx, word from own union all select qid, pos, 1, reverse(word) from own)
+      select a.qid, a.pos::int pos, a.idx::int idx, a.word, round(max(coalesce(bi.p, 1.0 / n_tokens) * coalesce(uni.p, 1.0 / n_tokens)), 12) score
+      from cand a join cand b on b.qid = a.qid and b.pos = a.pos + 1 cross join n left join bi on w1 = a.word and w2 = b.word left join uni on uni.word = b.word group by 1, 2, 3, 4""",
+    "argmax_candidates": f"with {LM} select letter, text from (select w1[1] letter, w2 as text, row_number() over (partition by w1[1] order by round(bi.p, 6) desc, uni.p desc, w2, w1) rn from bi join uni on uni.word = w2) where rn = 1",
+    "trie_inserts": f"""with {LM}, {TRIE}, {LOG_SQL}, {PAIRS}, {EDITS_ALL}, kids as (select prefix, substr(prefix, 1, length(prefix) - 1) parent, case when length(prefix) = 1 then '^' || prefix else right(prefix, 2) end edge from trie),
+      priced as (select parent, prefix, edge, coalesce(cost.cost, 1) cost from kids left join cost on ctx = edge[1] || '_' and tgt = edge)
+      select parent, prefix, round(cost, 9)::double cost, rank from (select *, row_number() over (partition by parent order by cost, edge) as rank from priced) where rank <= 6""",
+    "layout_vocabularies": f"""with {TYPED}, each as (select distinct unnest(ws) word from tw), sc as (select word, regexp_full_match(word, '[a-z0-9_]+') english, regexp_full_match(word, '[а-я0-9_]+') russian from each),
+      one as (select word, case when english then translate(word, {EN}, {RU}) else translate(word, {RU}, {EN}) end other, english from sc where english or russian)
+      select word typed, other meant, english to_cyrillic from one union select other, word, not english from one""",
+    "fuzzy_lev2_candidates": f"with {LM}, {LOG_SQL}, {LOOKUP} select lookup.word typed, uni.word from lookup join uni on levenshtein(lookup.word, uni.word) <= 2",
+    "recover_whole_names": "select p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ', ') || '!' restored from part",
+    "err_counts_all": f"with {LOG_SQL}, {PAIRS}, {EDITS_ALL} select ctx, tgt, cnt from err",
+    "err_probability": f"""with {LOG_SQL}, {PAIRS}, {EDITS_ALL}, total as (select r, w, sum(coalesce(cost.cost, 1)) s from (select distinct * from (select r, w, ctx, tgt, row_number() over (partition by r, w, ctx, tgt) k from every)) e left join cost using (ctx, tgt) where k <= 1 group by r, w)
+      select d.r as "right", d.w wrong, round(power(1.2, -case when coalesce(s, 0) = 0 then 1 else s end), 9) prob from (select distinct r, w from pairs) d left join total using (r, w)""",
+    "stream_bool": f"with {TOKENS} " + " union all ".join(f"select {i}::int line, {sql_literal(q)} query, doc_id, true answered from tok where {_predicate_sql(q)}" if _valid(q) else f"select {i}::int, {sql_literal(q)}, null::bigint, false" for i, q in enumerate(STREAM) if q),
+    "crawl_source": "select * from (values " + ", ".join(f"({i}::bigint, 'http://example.org/{i} end', 'text {i} line')" for i in range(5)) + ", (5, null, 'x'), (6, 'http://example.org/short', '')) t(doc_id, url, text)",
+    "crawl_paths": "select * from (values " + ", ".join(f"({at + (6 - i if flip else i)}::bigint, {u}, {t})" for at, flip in ((0, False), (7, True), (14, False)) for i, (u, t) in enumerate([*((f"'http://example.org/{i} end'", f"'text {i} line'") for i in range(5)), ("null", "'x'"), ("'http://example.org/short'", "''")])) + ") t(doc_id, url, text)",
     "idx_df": f"with {POSTINGS} select term, count(*) df from post group by term",
     "idx_dict_size": f"with {POSTINGS} select count(distinct term) n_terms, count(*) n_postings from post",
     "tok_count_per_doc": f"with {TOKENS} select doc_id, len(ts)::bigint n_tokens, len(list_distinct(ts))::bigint n_terms from tok",

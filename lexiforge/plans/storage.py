@@ -1,4 +1,4 @@
-"""Tables that are written once in the cluster's shared folder and read many times."""
+"""Tables that are written once in the cluster's shared folder and read many times by one application."""
 
 from __future__ import annotations
 
@@ -11,12 +11,24 @@ _tables: dict[tuple, str] = {}
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder under spark.checkpoint.dir; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        key = (spark.sparkContext.applicationId, "base")
-        base = _tables.setdefault(key, tempfile.mkdtemp(prefix="lexiforge-"))
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new folder under spark.checkpoint.dir or the context's checkpoint folder, in one of this application that goes when it ends.
+
+    Only where neither is set and the master is local, as in tests, a temporary folder is made.
+    """
+    sc = spark.sparkContext
+    key = (sc.applicationId, "folder")
+    if key not in _tables:
+        base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        if not base:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir isn't set: it has to name a folder that all executors share")
+            base = tempfile.mkdtemp(prefix="lexiforge-")
+        _tables[key] = f"{base.rstrip('/')}/lexiforge-core-{sc.applicationId}-{uuid.uuid4().hex[:8]}"
+        path = sc._jvm.org.apache.hadoop.fs.Path(_tables[key])
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return f"{_tables[key]}/{label}-{uuid.uuid4().hex}"
 
 
 def table(spark: SparkSession, label: str, source: str, build) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, extract_url
+from ..plans.storage import shared_dir
 
 
 def records(data: bytes):
@@ -35,7 +36,9 @@ def write_records(items: list[tuple[str, str]]) -> bytes:
 def read_crawl(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(doc_id, url, text, path): archives in the order given, folders in the order of their names.
 
-    A path given twice counts twice. Ids are dense, from the counts of records per file.
+    A path given twice counts twice. Ids are dense, from the counts of records per file. Archives are decoded once: their records
+    are written in the shared folder, as their number must be known before the first id is given. An archive is a row of Spark's
+    binary reader, which takes files of up to 2 GB.
     """
     files = spark.read.format("binaryFile").load(sorted(set(paths)))
 
@@ -55,6 +58,9 @@ def read_crawl(spark: SparkSession, paths: list[str]) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string()))], names=["path", "rec_no", "header", "body"])
 
     found = files.select("path", "content").mapInArrow(run, "path string, rec_no long, header string, body string")
+    written = shared_dir(spark, "records")
+    found.write.parquet(written)
+    found = spark.read.schema(found.schema).parquet(written)
     bare = F.regexp_replace("path", "^file:/+", "/")
     order = spark.createDataFrame([(i, p.removeprefix("file://").rstrip("/")) for i, p in enumerate(paths)], "file_order int, given string")
     counts = files.select("path").join(F.broadcast(order), (bare == F.col("given")) | bare.startswith(F.concat("given", F.lit("/"))))

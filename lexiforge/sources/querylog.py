@@ -1,4 +1,7 @@
-"""Query logs: lines of one column (a right query) or two (a wrong one and the right one)."""
+"""Query logs: lines of one column (a right query) or two (a wrong one and the right one).
+
+Of lines with more columns the first one is an example that needs no fix, and the middle one counts as the right query.
+"""
 
 from __future__ import annotations
 
@@ -20,9 +23,9 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 
 def labelled(log: DataFrame) -> DataFrame:
-    """(text, need_fix), lower-cased: wrong queries need a fix; lines of one column are examples that need none."""
-    both = F.when(F.col("wrong").isNotNull(), F.array(F.struct(F.lower("wrong").alias("text"), F.lit(1).alias("need_fix")), F.struct(F.lower("right").alias("text"), F.lit(0).alias("need_fix"))))
-    one = F.array(F.struct(F.lower("right").alias("text"), F.lit(0).alias("need_fix")))
+    """(qid, text, need_fix), lower-cased: of lines of two columns the first needs a fix and the second none; of others the first column needs none."""
+    both = F.when(F.col("ncols") == 2, F.array(F.struct(F.lower("wrong").alias("text"), F.lit(1).alias("need_fix")), F.struct(F.lower("right").alias("text"), F.lit(0).alias("need_fix"))))
+    one = F.array(F.struct(F.lower(F.coalesce("wrong", "right")).alias("text"), F.lit(0).alias("need_fix")))
     return log.select("qid", F.explode(F.coalesce(both, one)).alias("x")).select("qid", "x.text", "x.need_fix")
 
 

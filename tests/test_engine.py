@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions import layout, text
 from lexiforge.operators import boolean, codec, correct, errmodel, gate, index, lm, trie
+from lexiforge.plans import saved
 from lexiforge.sources import crawl, querylog
 from lexiforge.streaming import stream
 
@@ -117,6 +118,100 @@ def test_log_and_language_model(log, models):
     assert got == pytest.approx({0: 3 / 11, 1: 1 / 11, 2: 4 / 121, 3: 1 / 11, 4: 0})
 
 
+def test_repeated_and_null_ids(spark, models):
+    """Rows of equal or null ids are rows of their own."""
+    uni, bi, facts, *_ = models
+    texts = [(1, "red bolt"), (1, "red bolt"), (1, "blue"), (None, "red bolt"), (None, None), (2, ""), (3, "  !")]
+    queries = spark.createDataFrame([(i, t, "x") for i, t in texts], "qid long, text string, prob string")
+    got = sorted((str(r["qid"]), round(r["prob"], 9)) for r in lm.query_probability(queries, uni, bi, facts).collect())
+    p = {"red bolt": 3 / 11, "blue": 1 / 11}
+    assert got == sorted((str(i), round(p.get(t, 0.0), 9)) for i, t in texts)
+    found = [(r["qid"], round(r["prob"], 9), r["n_chars"], r["n_words"], r["n_other"], r["n_known"]) for r in lm.features(queries, uni, bi, facts).collect()]
+    want = [(i, round(p.get(t, 0.0), 9), len(t or ""), len((t or "").strip(" !").split()), sum(c in " !" for c in t or ""), (t or "").count("red") + (t or "").count("bolt")) for i, t in texts]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
+
+
+def test_lines_of_three_columns(spark):
+    log = querylog.parse_lines(spark.createDataFrame([("a b\tc d\te f",), ("bot\tbolt",), ("red",)], "value string")).withColumn("qid", F.lit(0))
+    assert {(r["text"], r["need_fix"]) for r in querylog.labelled(log).collect()} == {("a b", 0), ("bot", 1), ("bolt", 0), ("red", 0)}
+    assert [(r["right"], r["wrong"]) for r in errmodel.word_pairs(log).collect()] == [("bolt", "bot")]
+
+
+def test_close_words(spark):
+    rnd = random.Random(4)
+    words = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 7))) for _ in range(70)} | {"abcd", "abxy", "xbcy"})
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a):
+            row, last = [i + 1], row
+            for j, d in enumerate(b):
+                row.append(min(last[j] + (c != d), last[j + 1] + 1, row[j] + 1))
+        return row[-1]
+
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    for most in (1, 2, 3):
+        got = {tuple(r) for r in trie.close_words(df, df, most).collect()}
+        assert got == {(a, b) for a in words for b in words if distance(a, b) <= most}
+
+
+def test_argmax_and_lookahead(spark, models):
+    uni, bi, facts, *_ = models
+    rows = [(1, 0, "zzz", 0.5), (1, 1, "red", 0.5), (1, 2, "bolt", 0.5), (2, 0, "red bolt", 0.1), (2, 1, "gear", 0.2), (3, 1, "bolt", 0.3), (3, 0, "red", 0.3), (4, 0, "", 0.0)]
+    got = {tuple(r) for r in lm.argmax(spark.createDataFrame(rows, "qid long, idx int, text string, score double"), uni, facts, ["qid"]).collect()}
+    assert got == {(1, "red"), (2, "gear"), (3, "red"), (4, "")}
+    cands = spark.createDataFrame([(1, 0, 0, "red"), (1, 0, 1, "blue"), (1, 1, 0, "bolt"), (1, 1, 1, "gear")], "qid long, pos int, idx int, word string")
+    found = {r["word"]: r["score"] for r in lm.lookahead(cands, uni, bi, facts).collect()}
+    assert found == pytest.approx({"red": 3 / 11, "blue": 1 / 11})
+
+
+def test_simple9_blobs(spark):
+    rnd = random.Random(5)
+    rows = [(t, i) for t, top in (("a", 40), ("b", 10**6), ("c", 2**40), ("d", 70_000)) for i in sorted({rnd.randrange(top) for _ in range(500)})]
+    df = spark.createDataFrame(rows, "term string, doc_id long").repartition(3)
+    blobs = codec.blocks(df)
+    assert sorted(map(tuple, codec.postings_of(blobs).collect())) == sorted(rows)
+    for r in blobs.collect():
+        own = [i - r["part"] * codec.RANGE for t, i in rows if t == r["term"] and i // codec.RANGE == r["part"]]
+        assert r["n"] == len(own) and [int.from_bytes(r["words"][k : k + 4], "little") for k in range(0, len(r["words"]), 4)] == codec.encode(own)
+
+
+def test_saved_index_and_models(spark, docs, log, models, tmp_path):
+    """What was written is found by a session that knows the folder alone; the gate decides as it did."""
+    urls = spark.createDataFrame([(i, f"http://u/{i}") for i, _ in DOCS], "doc_id long, url string")
+    saved.save_index(docs, urls, str(tmp_path / "i"))
+    own = saved.load_index(spark.newSession(), str(tmp_path / "i"))
+    for query, want in CASES.items():
+        assert found(boolean.search(boolean.parse(query), own.postings, own.ids)) == want
+    assert sorted(map(tuple, codec.postings_of(own.blobs).collect())) == sorted(map(tuple, own.postings.select("term", "doc_id").collect()))
+    assert [r["line"] for r in boolean.result_lines(boolean.search(boolean.parse("red"), own.postings, own.ids), own.urls).collect()] == ["2", "http://u/0", "http://u/1"]
+    uni, bi, facts, costs, contexts, nodes = models
+    rows = lm.features(querylog.labelled(log).withColumn("qid", F.monotonically_increasing_id()), uni, bi, facts)
+    trained = gate.train(rows, 3)
+    saved.save_models(saved.Models(uni, bi, costs, contexts, nodes, trained), str(tmp_path / "m"))
+    m = saved.load_models(spark.newSession(), str(tmp_path / "m")).collected()
+    assert m.counts == correct.collect_model(uni, bi, costs, contexts, nodes).counts
+    for r in gate.predict(trained, rows).join(rows, "qid").collect():
+        assert m.gate.p_fine([r[c] for c in gate.COLUMNS]) == pytest.approx(r["p_fine"])
+    saved.save_models(saved.Models(uni, bi, costs, contexts, nodes), str(tmp_path / "m2"))
+    assert saved.load_models(spark, str(tmp_path / "m2")).gate is None
+
+
+def test_model_bound(models, monkeypatch):
+    uni, bi, _, costs, contexts, nodes = models
+    monkeypatch.setattr(correct, "MAX_ROWS", 5)
+    with pytest.raises(ValueError):
+        correct.collect_model(uni, bi, costs, contexts, nodes)
+
+
+def test_correction_uses_all_tasks(spark, models):
+    uni, bi, _, costs, contexts, nodes = models
+    m = correct.collect_model(uni, bi, costs, contexts, nodes)
+    words = spark.createDataFrame([(f"word{i}",) for i in range(200)], "text string")
+    tasks = correct._over_distinct(spark, words, m, lambda x, t: [(t,)], "text string, same string", tasks=7).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks == 7
+
+
 def test_error_model(models, log):
     *_, costs, contexts, _ = models
     assert {(r["ctx"], r["tgt"]): r["cost"] for r in costs.collect()} == {("ol", "o_"): 0.5, ("ol", "oj"): 0.5, ("ue", "u_"): 0.0}
@@ -146,7 +241,7 @@ def test_trie(models):
 
 def test_correction(spark, models, log):
     uni, bi, _, costs, contexts, nodes = models
-    m = correct.collect_model(uni, bi, costs, contexts, nodes, log)
+    m = correct.collect_model(uni, bi, costs, contexts, nodes)
     assert m.probability(["red", "bolt"]) == pytest.approx(3 / 11)
     assert "bolt" in [w for _, w in correct.fuzzy_search(m, "bojt")] and correct.fuzzy_search(m, "abc") == [(0.0, "abc")]
     assert correct.correct(m, "Red, Bojt!") == "Red, Bolt!"
@@ -186,14 +281,28 @@ def test_crawl(spark, tmp_path):
 
 def test_streams_match_batch(spark, docs, models, log, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "q.txt").write_text("red&bolt\n\n!red\nred bolt\n")
+    (tmp_path / "in" / "q.txt").write_text("red&bolt\n\n!red\nred bolt\nred&bolt\n")
     stream.search_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"), index.postings(docs), docs)
-    rows = {(r["query"], r["doc_id"], r["error"] is None) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert rows == {("red&bolt", 0, True), ("!red", 2, True), ("!red", 3, True), ("!red", 4, True), ("red bolt", None, False)}
+    rows = sorted((r["line"], r["query"], r["doc_id"], r["error"] is None) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert rows == [(0, "red&bolt", 0, True), (2, "!red", 2, True), (2, "!red", 3, True), (2, "!red", 4, True), (3, "red bolt", None, False), (4, "red&bolt", 0, True)]
     uni, bi, _, costs, contexts, nodes = models
-    m = correct.collect_model(uni, bi, costs, contexts, nodes, log)
+    m = correct.collect_model(uni, bi, costs, contexts, nodes)
     stream.correct_stream(spark, str(tmp_path / "in"), str(tmp_path / "o2"), str(tmp_path / "ck2"), m)
-    assert {r["fixed"] for r in spark.read.parquet(str(tmp_path / "o2")).collect()} == {correct.correct(m, t) for t in ("red&bolt", "!red", "red bolt")}
+    texts = ["red&bolt", "", "!red", "red bolt", "red&bolt"]
+    assert [(r["line"], r["text"], r["fixed"]) for r in spark.read.parquet(str(tmp_path / "o2")).orderBy("file", "line").collect()] == [(i, t, correct.correct(m, t)) for i, t in enumerate(texts)]
+
+
+def test_projection_and_f1(spark, log, models):
+    """Projected rows have the lengths and angles that the singular values give; folds have their F1."""
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["red bolt", "red gear", "blue gear", "blue bolt gear", "red red bolt"])], "qid long, text string")
+    vectors = gate.tfidf(texts)[1]
+    rows = {r["qid"]: list(r[1:]) for r in gate.projected(vectors, 4).collect()}
+    full = {r["qid"]: r["vector"].toArray() for r in vectors.collect()}
+    for a in rows:
+        for b in rows:
+            assert sum(x * y for x, y in zip(rows[a], rows[b])) == pytest.approx(float(full[a] @ full[b]))
+    rows = spark.createDataFrame([(i, float(i % 2), 1, 1, 1, 1, i % 2) for i in range(40)], "qid long, prob double, n_chars int, n_words int, n_other int, n_known int, need_fix int")
+    assert [r["f1"] for r in gate.f1_of_folds(rows, 2, 2).collect()] == [1.0, 1.0]
 
 
 def test_tfidf_keeps_all_words(spark):
