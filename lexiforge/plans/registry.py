@@ -526,7 +526,7 @@ err as (select case when length(w) > length(r) then c || '_' else c || substr(r,
   case when length(w) < length(r) then c || '_' else c || substr(w, l + 1, 1) end tgt, count(*) + 1 cnt from pc group by 1, 2)"""
 #: Pairs that need one edit, or have no character in common: every character replaced. The log makes no others.
 EDITS_ALL = EDITS.replace("err as (select", "ones as (select").replace("count(*) + 1 cnt from pc group by 1, 2)", """1 cnt from pc),
-apart as (select r, w, unnest(range(1, length(r) + 1)) i from pairs where length(r) = length(w) and levenshtein(r, w) = length(r) and length(r) > 1),
+apart as (select r, w, unnest(range(1, length(r) + 1)) i from pairs where length(r) = length(w) and levenshtein(r, w) > 1 and len(list_intersect(string_split(r, ''), string_split(w, ''))) = 0),
 every as (select r, w, ctx, tgt from (select r, w, case when length(w) > length(r) then c || '_' else c || substr(r, l + 1, 1) end ctx,
   case when length(w) < length(r) then c || '_' else c || substr(w, l + 1, 1) end tgt from pc)
   union all select r, w, p || substr(r, i, 1), p || substr(w, i, 1) from (select r, w, i, case when i = 1 then '^' else substr(r, i - 1, 1) end p from apart)),
