@@ -202,10 +202,8 @@ def candidates(a: list[np.ndarray], b: list[np.ndarray] | None, k: int, percent:
     i, j = np.nonzero(np.triu(ok, 1) if b is None else ok)
     cut = np.flatnonzero((n_a[i] > k) | (n_b[j] > k))
     if len(cut):
-        # Sketches longer than any text's set aren't filled up to k.
-        width = min(k, int(max(n_a.max(), n_b.max())))
         fair = np.ones(len(i), bool)
-        fair[cut] = _similar(_filled(low_a, width), _filled(low_b, width), i[cut], j[cut], k, percent)
+        fair[cut] = _similar(_filled(low_a, k), _filled(low_b, k), i[cut], j[cut], k, percent)
         i, j = i[fair], j[fair]
     order = np.argsort(-shared[i, j], kind="stable")
     return i[order], j[order]

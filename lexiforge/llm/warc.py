@@ -9,15 +9,18 @@ equal payloads the one of largest page id stays a response; the others become
 revisit records that refer to it and hold the HTTP header alone.
 
 Files are gzip, one member a record, in the cluster's shared folder; each is
-written under a temporary name and then moved, so a task that runs again
-replaces whole files. A file is rolled at ROLL bytes, which bounds what a reader
-holds at once.
+written under a temporary name and then moved. Every attempt of a task has names
+of its own, and the names of the attempts that counted are written beside the
+files: readers take those alone, so what a lost attempt leaves is never read. A
+file is rolled at ROLL bytes, which bounds what a reader holds at once.
 
 Defined results: null html is an empty payload; empty payloads are equal ones;
 a null or empty url becomes ``unknown:``; white space and control characters in
 a url are percent-encoded; rows of equal page id and payload are all responses;
 a row with a null page_id refers to the largest of its group or, if none has an
-id, is a response. Torn records raise ValueError.
+id, is a response; payloads of any length are one record; columns other than
+page_id, url and html are ignored; an empty table gives no rows. Torn records
+raise ValueError.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import broadcast_if, materialize, shared_dir
 
 ROLL = 8 << 20
-BROADCAST_GROUPS = 100_000
+BROADCAST_GROUPS, BROADCAST_FILES = 100_000, 100_000
 NAMESPACE = uuid.UUID("6f1d6a52-53f7-5c39-9e0b-9a1c1f3f7a10")
 #: Fixed values of the formats.
 FIELDS = {
@@ -203,11 +206,12 @@ class ArchiveWriter:
         self.fs, self.root = fs.FileSystem.from_uri(folder)
         self.fs.create_dir(self.root, recursive=True)
         self.suffix, self.first, self.serial, self.out, self.made = suffix, first, 0, None, []
+        self.attempt = uuid.uuid4().hex
 
     def _open(self) -> None:
         task = TaskContext.get()
-        self.name = f"part-{task.partitionId() if task else 0:06d}-{self.serial:05d}{self.suffix}"
-        self.temp = f"{self.root}/.{self.name}.{uuid.uuid4().hex}"
+        self.name = f"part-{task.partitionId() if task else 0:06d}-{self.serial:05d}-{self.attempt}{self.suffix}"
+        self.temp = f"{self.root}/.{self.name}"
         self.serial, self.size, self.raw = self.serial + 1, 0, 0
         self.out = self.fs.open_output_stream(self.temp, compression=None)
         self.add(self.first(self.name))
@@ -256,11 +260,27 @@ def write_arc(pages: DataFrame, folder: str, date: str = "20240101000000", ip: s
                 out[w].add(arc_record(w, safe_url(url.as_py()), ip, date, "text/html", block, offset=at, name=out[w].name))
         yield _made(*out.values())
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "file string").agg(F.count("*")).first()[0]
+    return _listed(pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "file string"), folder)
+
+
+LISTED = "_files"
+
+
+def _listed(written: DataFrame, folder: str) -> int:
+    """Runs the writing tasks and lists the files of the attempts that counted; gives their number."""
+    written.write.parquet(f"{folder}/{LISTED}")
+    return written.sparkSession.read.schema("file string").parquet(f"{folder}/{LISTED}").count()
 
 
 def _files(spark, folder: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("path", "content")
+    """(path, content) of a folder's archives: those that are listed, or all of a folder without a list."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("path", "content")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{LISTED}")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return files
+    listed = spark.read.schema("file string").parquet(f"{folder}/{LISTED}")
+    listed = broadcast_if(listed, listed.count(), BROADCAST_FILES)
+    return files.join(listed, F.substring_index("path", "/", -1) == F.col("file"), "left_semi")
 
 
 def read_arc(spark, folder: str) -> DataFrame:
@@ -314,7 +334,7 @@ def convert_folder(spark, arc_folder: str, warc_folder: str) -> int:
                 w.add(convert(r, refers, page_record_id(page_id, r.fields, digest.as_py())))
         yield _made(w)
 
-    return joined.mapInArrow(run, "file string").agg(F.count("*")).first()[0]
+    return _listed(joined.mapInArrow(run, "file string"), warc_folder)
 
 
 def read_warc(spark, folder: str) -> DataFrame:
