@@ -5,7 +5,9 @@ a text rank first. In every run of 64 neighbouring windows the first-ranked one
 gets a point; windows with enough points are the document's features. Their
 hashes set bits in Bloom filters of 2048 bits, a new one being chained after
 every 160 features. Two digests are compared by the bits that their filters
-share, beyond what chance would share, over the most they could share.
+share, beyond what chance would share, over the most they could share: the bits
+of the smaller filter, or of the larger one if the smaller has under SPARSE bits,
+as so few are found by chance in one of a long chain's filters.
 
 Rarity follows a rule, so digests can be compared whatever table they came
 from: the further an entropy is from that of usual prose, TYPICAL thousandths of
@@ -34,6 +36,7 @@ from pyspark.sql import functions as F
 WINDOW, RUN, POINTS = 64, 64, 16
 FILTER_BITS, FILTER_FEATURES, HASHES = 2048, 160, 5
 TYPICAL, LEAST = 640, 100
+SPARSE = 64
 BLOCK = 1 << 20
 LEAST_KEY = -(2**63)
 MOST_RANGES = 20_000
@@ -132,6 +135,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
         size_a = bits_a.sum(1)[:, None]
         chance = size_a * size_b / FILTER_BITS
         most = np.minimum(size_a, size_b)
+        most = np.where(most < SPARSE, np.maximum(size_a, size_b), most)
         cut = chance + 0.3 * (most - chance)
         best.append(np.clip((bits_a @ bits_b.T - cut) / np.maximum(1e-9, most - cut), 0, 1).max(1))
     return float(np.round(np.concatenate(best).mean(), 6))

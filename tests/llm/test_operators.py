@@ -205,7 +205,7 @@ def brute_groups(rows, size, percent):
     return Counter((r[0], len(sets[i]), min(groups[find(i)], default=None) if sets[i] else r[0]) for i, r in enumerate(rows))
 
 
-@pytest.mark.parametrize("shingle,k", [(4, 64), (5, 16), (5, 64)])
+@pytest.mark.parametrize("shingle,k", [(4, 64), (5, 16), (5, 64), (5, 10**9)])
 def test_near_duplicates(docs, rows, shingle, k):
     got = minhash.near_duplicates(docs, shingle=shingle, k=k).collect()
     assert Counter((r[0], r[1], r[2]) for r in got) == brute_groups(rows, shingle, 80)
@@ -247,6 +247,45 @@ def test_near_duplicates_null_ids(spark):
     assert Counter(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == brute_groups(rows, 5, 80)
 
 
+@pytest.mark.parametrize("k,block,least", [(64, 1 << 20, 1 << 11), (64, 3000, 100), (16, 2000, 500)])
+def test_near_duplicates_in_parts(spark, monkeypatch, k, block, least):
+    """Homes in one block and in many parts: groups whose members are similar, linked or not, and a long text with its copy."""
+    monkeypatch.setattr(minhash, "BLOCK_VALUES", block)
+    monkeypatch.setattr(minhash, "LEAST_VALUES", least)
+    rnd = random.Random(12)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for i in range(25):
+            w = base[:]
+            for _ in range(rnd.randrange(0, 9)):
+                w[rnd.randrange(len(w))] = f"e{rnd.randrange(10**6)}"
+            rows.append((100 * g + i, " ".join(w)))
+    long = [f"l{i % 5000}x{i // 7}" for i in range(60_000)]
+    rows += [(1000, " ".join(long)), (1001, " ".join(long[:-3000])), (1002, " ".join(long[30_000:]))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k=k)
+    assert Counter(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == brute_groups(rows, 5, 80)
+
+
+def test_block_links_against_all_pairs():
+    """Components of a block, within one side and between two, against the similarity of every pair."""
+    rnd = np.random.default_rng(13)
+    for trial in range(12):
+        base = np.unique(rnd.integers(0, 2**62, 150))
+        sets = [np.unique(np.concatenate([rnd.choice(base, rnd.integers(60, 140), replace=False), rnd.integers(0, 2**62, rnd.integers(0, 25))])) for _ in range(40)]
+        for split in (None, 15):
+            up = list(range(40))
+            find = lambda x: x if up[x] == x else find(up[x])  # noqa: B023, E731
+            for i in range(40):
+                for j in range(i):
+                    both = len(np.intersect1d(sets[i], sets[j]))
+                    if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both) and (split is None or (j < split <= i)):
+                        a, b = find(i), find(j)
+                        up[max(a, b)] = min(a, b)
+            got = minhash.block_links(sets if split is None else sets[:split], None if split is None else sets[split:], 64, 80)
+            assert got.tolist() == [find(i) for i in range(40)]
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(i, i + 1) for i in range(50, 90)] + [(rnd.randrange(200, 300), rnd.randrange(200, 300)) for _ in range(90)] + [(7, 7)]
@@ -384,6 +423,16 @@ def test_warc_round_trip(spark):
     assert warc.pages_through_archives(pages.filter("page_id = -1")).count() == 0
 
 
+def test_files_of_lost_attempts_are_not_read(spark, tmp_path):
+    pages, rows = pages_fixture(spark)
+    folder = str(tmp_path / "arc")
+    assert warc.write_arc(pages, folder) == len(list((tmp_path / "arc").glob("*.gz")))
+    before = warc.read_arc(spark, folder).count()
+    lost = next((tmp_path / "arc").glob("*.gz"))
+    (tmp_path / "arc" / f"part-000000-00009-lost{''.join(lost.suffixes)}").write_bytes(lost.read_bytes())
+    assert before == warc.read_arc(spark, folder).count() == len(rows)
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_parser(version):
     blocks = [b"HTTP/1.0 200 OK\r\nA: b\r\n\r\nhello\nworld", b"", b"no header"]
@@ -540,6 +589,23 @@ def test_lm_scores(docs, rows, monkeypatch):
     assert ctw.score_documents(docs.limit(0)).count() == 0
 
 
+def test_long_texts(spark, tok):
+    """A text of millions of bytes goes through every operator whole."""
+    rnd = random.Random(14)
+    long = " ".join(rnd.choice(SEED) + str(rnd.randrange(3000)) for _ in range(250_000))
+    rows = [(1, long, "en", "s"), (2, long[: len(long) // 2], "en", "s"), (3, long + " and the end", "de", "t"), (4, "short one", "de", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    near = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()}
+    assert near == {1: 1, 2: 2, 3: 1, 4: 4}
+    scores = {r["doc_id"]: r for r in ctw.score_documents(df, depth=2).collect()}
+    assert {i: r["n_tokens"] for i, r in scores.items()} == {i: len(t.split()) + 1 for i, t, *_ in rows}
+    assert {i: r["n_bytes"] for i, r in scores.items()} == {i: len(t) + 1 for i, t, *_ in rows}
+    prints = {r["doc_id"]: r for r in fingerprint.compare_with_next(df).collect()}
+    assert {i: r["n_chars"] for i, r in prints.items()} == {i: len(t) for i, t, *_ in rows} and prints[1]["near_next"] > prints[3]["near_next"]
+    pieces = packing.pack_documents(df.filter("doc_id > 2")).groupBy("doc_id").agg(F.sum("length"), F.max("doc_tokens")).collect()
+    assert {tuple(r) for r in pieces} == {(i, n, n) for i, t, *_ in rows[2:] if (n := len(ids_of(tok, t)) + 1)}
+
+
 def test_lm_predicts_held_out(spark, sf):
     got = ctw.score_documents(spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")).filter("held_out")
     r = got.agg(F.sum("score"), F.sum("base_score"), F.sum("n_bytes")).first()
@@ -622,6 +688,7 @@ def plain_likeness(a, b):
         each = []
         for y in b:
             chance, most = len(x) * len(y) / 2048, min(len(x), len(y))
+            most = max(len(x), len(y)) if most < 64 else most
             cut = chance + 0.3 * (most - chance)
             each.append(min(1, max(0, (len(x & y) - cut) / max(1e-9, most - cut))))
         best.append(max(each))
