@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import index_terms
+from .codec import RANGE
 
 
 class QueryError(ValueError):
@@ -177,13 +178,15 @@ def search_sets(tree, postings: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def search_arrays(tree, lists: DataFrame, docs: DataFrame) -> DataFrame:
-    """By array functions over posting lists (term, ids); for terms whose lists fit into a row."""
+    """By array functions over posting lists (term, part, ids), range of ids by range."""
     words = terms(tree)
     empty = F.array().cast("array<bigint>")
-    picked = lists.filter(F.col("term").isin(words)).groupBy().agg(*[F.coalesce(F.max(F.when(F.col("term") == w, F.col("ids"))), empty).alias(f"_t{i}") for i, w in enumerate(words)])
-    everything = docs.groupBy().agg(F.array_sort(F.collect_set("doc_id")).alias("_all")) if _negates(tree) else None
-    row = picked.crossJoin(everything) if everything is not None else picked  # one row by one row
-    names = {w: F.col(f"_t{i}") for i, w in enumerate(words)}
+    picked = lists.filter(F.col("term").isin(words)).groupBy("part").agg(*[F.max(F.when(F.col("term") == w, F.col("ids"))).alias(f"_t{i}") for i, w in enumerate(words)])
+    row = picked
+    if _negates(tree):
+        everything = docs.groupBy(F.floor(F.col("doc_id") / RANGE).alias("part")).agg(F.array_sort(F.collect_set("doc_id")).alias("_all"))
+        row = everything.join(picked, "part", "left")
+    names = {w: F.coalesce(F.col(f"_t{i}"), empty) for i, w in enumerate(words)}
 
     def go(x):
         if isinstance(x, Term):

@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, RegexTokenizer, VectorAssembler
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, RegexTokenizer, VectorAssembler
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.sql import DataFrame
@@ -100,18 +101,16 @@ def inline_gate(model, threshold: float = THRESHOLD) -> InlineGate:
 
 
 def tfidf(texts: DataFrame, vocabulary: int | None = None):
-    """(model, qid and normalised tf-idf vectors) of texts (qid, text); all words count unless ``vocabulary`` bounds them."""
-    words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[^\p{L}\p{N}]+")
+    """(model, qid and tf-idf vectors of length 1) of texts (qid, text); all words of two characters or more count unless ``vocabulary`` bounds them.
+
+    The inverse document frequency is log((1 + n) / (1 + df)) + 1, so words of all texts count too.
+    """
+    words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False)
     if vocabulary is None:
         vocabulary = max(1, words.transform(texts).select(F.explode("words").alias("word")).distinct().count())
-    model = Pipeline(
-        stages=[
-            words,
-            CountVectorizer(inputCol="words", outputCol="tf", vocabSize=vocabulary),
-            IDF(inputCol="tf", outputCol="idf"),
-            Normalizer(inputCol="idf", outputCol="vector"),
-        ]
-    ).fit(texts)
+    counted = Pipeline(stages=[words, CountVectorizer(inputCol="words", outputCol="tf", vocabSize=vocabulary), IDF(inputCol="tf", outputCol="_idf")]).fit(texts)
+    weights = ElementwiseProduct(inputCol="tf", outputCol="weighted", scalingVec=Vectors.dense(counted.stages[2].idf.toArray() + 1))
+    model = PipelineModel([*counted.stages[:2], weights, Normalizer(inputCol="weighted", outputCol="vector")])
     return model, model.transform(texts).select("qid", "vector")
 
 

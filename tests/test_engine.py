@@ -305,6 +305,19 @@ def test_projection_and_f1(spark, log, models):
     assert [r["f1"] for r in gate.f1_of_folds(rows, 2, 2).collect()] == [1.0, 1.0]
 
 
+def test_tfidf_by_hand(spark):
+    """log((1 + n) / (1 + df)) + 1, times counts, scaled to length 1; single characters are no words."""
+    texts = ["red bolt a", "red red gear", "Blue"]
+    model, vectors = gate.tfidf(spark.createDataFrame(list(enumerate(texts)), "qid long, text string"))
+    df = {"red": 2, "bolt": 1, "gear": 1, "blue": 1}
+    for r in vectors.collect():
+        words = [w for w in texts[r["qid"]].lower().split() if len(w) > 1]
+        raw = {w: words.count(w) * (math.log(4 / (1 + df[w])) + 1) for w in words}
+        size = math.sqrt(sum(x * x for x in raw.values()))
+        got = {model.stages[1].vocabulary[i]: x for i, x in enumerate(r["vector"].toArray().tolist()) if x}
+        assert got == pytest.approx({w: x / size for w, x in raw.items()})
+
+
 def test_tfidf_keeps_all_words(spark):
     texts = spark.createDataFrame([(i, " ".join(f"w{i * 1000 + j}" for j in range(1000))) for i in range(18)], "qid long, text string")
     model, vectors = gate.tfidf(texts)
