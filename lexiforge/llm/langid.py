@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize
+from .common import fold, lean, materialize
 
 #: Families of languages by ISO 639-1 code; a language not named is a family of its own.
 FAMILIES = {
@@ -47,7 +47,7 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 DIMS = 1 << 13
 PER_LANGUAGE, MAX_SAMPLE, MAX_LANGUAGES = 300, 4000, 2000
 LETTER = regex.compile(r"\p{L}")
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _bytes = np.arange(256)
 _fold = np.where((_bytes >= 65) & (_bytes <= 90), _bytes + 32, _bytes)
 FOLD = np.where(((_fold >= 97) & (_fold <= 122)) | (_fold >= 128), _fold, 32).astype(np.uint64)
@@ -157,7 +157,7 @@ def sample(docs: DataFrame, labelled: Column, per_language: int = PER_LANGUAGE)
 
     picked = rows.filter("h < share").groupBy("lang", (F.col("h") / F.col("share")).alias("h")).agg(F.first("text").alias("text"))
     found: dict[str, list] = {}
-    for r in picked.mapInArrow(run, "lang string, h double, at binary, x binary").orderBy("h", "lang").limit(max(3 * MAX_SAMPLE, 3 * each * languages)).toLocalIterator():
+    for r in picked.mapInArrow(lean(run), "lang string, h double, at binary, x binary").orderBy("h", "lang").limit(max(3 * MAX_SAMPLE, 3 * each * languages)).toLocalIterator():
         if len(got := found.setdefault(r["lang"], [])) < each:
             got.append((np.frombuffer(r["at"], np.uint16), np.frombuffer(r["x"], np.float32)))
     return [(lang, x) for lang in sorted(found) for x in found[lang]]
@@ -199,7 +199,7 @@ def predict(docs: DataFrame, model: LanguageModel, columns: list[str]) -> DataFr
             )
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(lean(run), f"{schema}, lang_pred string, score double")
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:

@@ -43,13 +43,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, discard, materialize
+from .common import broadcast_if, discard, give_back, lean, materialize
 from .components import components
 
 SKETCH, SHINGLE, PERCENT = 64, 5, 80
 BROADCAST_ROWS = 200_000
 #: A part of a block holds about BLOCK_VALUES hashes, where each class counts as LEAST_VALUES at least.
 BLOCK_VALUES, LEAST_VALUES = 1 << 20, 1 << 11
+#: Classes of a block after which a worker gives memory back.
+LARGE = 200
 LOW63 = np.uint64(1)
 TOP = np.iinfo(np.int64).max
 
@@ -115,7 +117,7 @@ def sketches(docs: DataFrame, shingle: int, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), values)], names=["doc_id", "th", "n", "key", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"doc_id {kind}, th long, n long, key binary, sketch array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(lean(run), f"doc_id {kind}, th long, n long, key binary, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -137,7 +139,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                     done.add(cid)
                     yield pa.RecordBatch.from_arrays([pa.array([cid.as_py()], pa.int64()), pa.array([s], pa.list_(pa.int64()))], names=["cid", "full"])
 
-    found = texts.select("text", "cid", "n", "key").mapInArrow(run, "cid long, full array<long>")
+    found = texts.select("text", "cid", "n", "key").mapInArrow(lean(run), "cid long, full array<long>")
     return found.dropDuplicates(["cid"])
 
 
@@ -273,6 +275,8 @@ def _links_of(block: pa.Table, k: int, percent: int) -> pa.Table:
     if within or 0 < near < len(ids):
         own = block_links(sets, None, k, percent) if within else block_links(sets[:near], sets[near:], k, percent)
         out = np.flatnonzero(own != np.arange(len(own)))
+        if len(ids) > LARGE:
+            give_back()
         return pa.table({"a": pa.array(ids[own[out]]), "b": pa.array(ids[out])})
     return pa.table({"a": pa.array(out), "b": pa.array(out)})
 

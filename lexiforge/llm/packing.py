@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import blocks, id_encoder, pack_ids
-from .common import materialize, tokenizer_path
+from .common import lean, materialize, tokenizer_path
 
 WINDOW = 2048
 GROUP = 700
@@ -116,7 +116,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, window: int, max_piece: int)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which)), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 1, window: int = WINDOW, max_piece: int = WINDOW // 4, group: int = GROUP) -> DataFrame:
