@@ -3,7 +3,8 @@
 The search is sequential by nature (best first, with a few global stops), so it
 runs in Python, in Arrow batches, over distinct queries. Its model holds the
 log's vocabulary: each of its parts is counted first and broadcast up to
-MAX_ROWS rows, a checked bound; beyond it use ``trie.close_words``, which joins.
+MAX_ROWS rows, a checked bound; beyond it ``joined_candidates`` finds candidates
+by joins, from vocabularies of any size.
 
 Whether a text is known in the other layout is asked of words alone, as the
 vocabularies of the layouts hold words; a query of several words is taken apart.
@@ -18,11 +19,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.layout import CYRILLIC, LATIN
-from .lm import COUNT_WEIGHT, EDIT_BASE, EMPTY_SCORE, JOIN_FACTOR, LAYOUT_COST, SHARE_WEIGHT
+from .lm import COUNT_WEIGHT, EDIT_BASE, EMPTY_SCORE, JOIN_FACTOR, LAYOUT_COST, SHARE_WEIGHT, score
+from .trie import close_words
 
 MAX_ROWS = 2_000_000
 #: Fixed values of the search: candidates, beam and pops; lengths of words that are searched; the priority over which candidates of words
@@ -82,7 +84,7 @@ def collect_model(uni: DataFrame, bi: DataFrame, costs: DataFrame, contexts: Dat
         # One row over the bound tells; no more is ever collected.
         found = df.limit(MAX_ROWS + 1).collect()
         if len(found) > MAX_ROWS:
-            raise ValueError(f"over {MAX_ROWS} {name} are too many to broadcast; use trie.close_words")
+            raise ValueError(f"over {MAX_ROWS} {name} are too many to broadcast; use joined_candidates")
         return found
 
     counts = {r["word"]: r["cnt"] for r in rows("words", uni.select("word", "cnt"))}
@@ -270,6 +272,21 @@ def search_words(spark: SparkSession, words: DataFrame, m: Model) -> DataFrame:
     return _over_distinct(spark, words, m, lambda x, w: [(i + 1, c, s) for i, (s, c) in enumerate(fuzzy_search(x, w))], "text string, rank int, candidate string, score double")
 
 
+def joined_candidates(words: DataFrame, uni: DataFrame, nodes: DataFrame, facts: DataFrame, distance: int = 2) -> DataFrame:
+    """(text, rank, candidate, score) for distinct words (text): the BEST of the vocabulary within an edit distance, each edit at full cost.
+
+    For vocabularies beyond the search's bound: joins alone. Words of other lengths than the search takes, and those without a
+    candidate, are their own, scored 0; of equal scores the lesser word is first.
+    """
+    fits = F.length("text").between(LEAST_LENGTH, MOST_LENGTH)
+    close = close_words(words.filter(fits).select(F.col("text").alias("word")), uni.select("word"), distance)
+    priced = close.join(uni.select("word", "p"), "word").join(nodes.select(F.col("prefix").alias("word"), F.col("cnt").alias("_c")), "word")
+    rated = priced.select(F.col("typed").alias("text"), F.col("word").alias("candidate"), score(F.levenshtein("typed", "word"), F.col("_c"), F.col("p")).alias("score"))
+    w = Window.partitionBy("text").orderBy(F.desc(F.round("score", 9)), "candidate")
+    ranked = rated.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= BEST)
+    return words.select("text").join(ranked, "text", "left").select("text", F.coalesce("rank", F.lit(1)).alias("rank"), F.coalesce("candidate", "text").alias("candidate"), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def correct_queries(spark: SparkSession, queries: DataFrame, m: Model) -> DataFrame:
     """(qid, text, fixed) of each row, equal and null ids too; each distinct text is corrected once, a null one stays null."""
     fixed = _over_distinct(spark, queries, m, lambda x, t: [(correct(x, t),)], "text string, fixed string")

@@ -404,6 +404,12 @@ def fuzzy_search(spark, sf):
     return correct.search_words(spark, words, models(spark, sf, gated=False).collected())
 
 
+def fuzzy_joined(spark, sf):
+    """Candidates by joins, for vocabularies beyond the search's bound."""
+    words = trie_lookup(spark, sf).select(F.col("word").alias("text"))
+    return correct.joined_candidates(words, unigrams(spark, sf), nodes(spark, sf), facts(spark, sf)).withColumn("score", F.round("score", 6))
+
+
 def correct_query(spark, sf):
     return correct.correct_queries(spark, typed(spark, sf), models(spark, sf).collected())
 
@@ -474,7 +480,7 @@ def crawl_paths(spark, sf):
 
 
 PLAIN = [
-    index_reload, simple9_index, search_saved, models_reload, result_lines, log_lines, log_lines_labelled, log_lines_pairs, lookahead_candidates, argmax_candidates, trie_inserts, layout_vocabularies, fuzzy_lev2_candidates, recover_whole_names, crawl_paths,
+    index_reload, simple9_index, search_saved, models_reload, result_lines, log_lines, log_lines_labelled, log_lines_pairs, lookahead_candidates, argmax_candidates, trie_inserts, layout_vocabularies, fuzzy_lev2_candidates, fuzzy_joined, recover_whole_names, crawl_paths,
     bool_setops, bool_arrays, bool_scan, bool_batch, bool_errors, idx_postings, idx_df, idx_dict_size, tok_count_per_doc, simple9_roundtrip, url_extract, text_clean, url_lines,
     result_urls, result_counts, log_columns, log_labelled, lm_unigram, lm_bigram, lm_smooth, lm_query_prob, features, err_counts_single, err_cost_single, err_context, err_counts_all,
     err_probability, trie_prefix, trie_topk_children, trie_lookup, layout_swap, script_detect, layout_vocab, layout_known, layout_score, join_candidates, join_score, argmax_tiebreak,
@@ -570,6 +576,10 @@ ORACLE_SQL = {name: _bool_sql(q) for name, q in BOOLEAN.items()} | {
       one as (select word, case when english then translate(word, {EN}, {RU}) else translate(word, {RU}, {EN}) end other, english from sc where english or russian)
       select word typed, other meant, english to_cyrillic from one union select other, word, not english from one""",
     "fuzzy_lev2_candidates": f"with {LM}, {LOG_SQL}, {LOOKUP} select lookup.word typed, uni.word from lookup join uni on levenshtein(lookup.word, uni.word) <= 2",
+    "fuzzy_joined": f"""with {LM}, {TRIE}, {LOG_SQL}, {LOOKUP}, rated as (select l.word typed, u.word, {SCORE.format(c='trie.cnt', cost='levenshtein(l.word, u.word)', p='u.p')} s
+        from lookup l join uni u on levenshtein(l.word, u.word) <= 2 join trie on prefix = u.word where length(l.word) between 4 and 10),
+      best as (select typed, word, s, row_number() over (partition by typed order by round(s, 9) desc, word)::int rank from rated)
+      select l.word as text, coalesce(b.rank, 1)::int as rank, coalesce(b.word, l.word) candidate, round(coalesce(b.s, 0), 6) score from lookup l left join best b on b.typed = l.word and b.rank <= 3""",
     "recover_whole_names": "select p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ', ') || '!' restored from part",
     "err_counts_all": f"with {LOG_SQL}, {PAIRS}, {EDITS_ALL} select ctx, tgt, cnt from err",
     "err_probability": f"""with {LOG_SQL}, {PAIRS}, {EDITS_ALL}, total as (select r, w, sum(coalesce(cost.cost, 1)) s from (select distinct * from (select r, w, ctx, tgt, row_number() over (partition by r, w, ctx, tgt) k from every)) e left join cost using (ctx, tgt) where k <= 1 group by r, w)
