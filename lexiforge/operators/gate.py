@@ -13,10 +13,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, RegexTokenizer, VectorAssembler
 from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.linalg import Vectors as OldVectors
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import shared_dir
+
 COLUMNS = ["prob", "n_chars", "n_words", "n_other", "n_known"]
 #: The probability of being fine from which a text is left alone, and the rounds of boosting.
 THRESHOLD, ROUNDS = 0.995, 150
@@ -114,21 +116,24 @@ def tfidf(texts: DataFrame, vocabulary: int | None = None):
     return model, model.transform(texts).select("qid", "vector")
 
 
-def _decomposed(vectors: DataFrame, k: int, project: bool):
-    rows = vectors.select("vector").rdd.map(lambda r: OldVectors.fromML(r[0]))
-    m = RowMatrix(rows)
-    return m.computeSVD(min(k, m.numCols()), computeU=project)
+def _decomposed(vectors: DataFrame, k: int):
+    """The singular value decomposition. Its rounds read the rows again and again, so they are written first; all of it stays JVM-side."""
+    spark = vectors.sparkSession
+    path = shared_dir(spark, "vectors")
+    vectors.select("vector").write.parquet(path)
+    m = RowMatrix(MLUtils.convertVectorColumnsFromML(spark.read.schema(vectors.select("vector").schema).parquet(path), "vector"))
+    return m.computeSVD(min(k, m.numCols()), computeU=False)
 
 
 def svd(vectors: DataFrame, k: int = 15) -> DataFrame:
     """(component, singular_value), descending: at most k of the distributed matrix."""
-    s = _decomposed(vectors, k, False).s.toArray().tolist()
+    s = _decomposed(vectors, k).s.toArray().tolist()
     return vectors.sparkSession.createDataFrame([(i, v) for i, v in enumerate(s)], "component int, singular_value double")
 
 
 def projected(vectors: DataFrame, k: int = 15) -> DataFrame:
     """(qid, c0, c1, ...): each row of vectors (qid, vector) on the first k right singular vectors, a matrix of words by k that is broadcast."""
-    found = _decomposed(vectors, k, False)
+    found = _decomposed(vectors, k)
     shared = vectors.sparkSession.sparkContext.broadcast(found.V.toArray())
     names = [f"c{i}" for i in range(shared.value.shape[1])]
 
