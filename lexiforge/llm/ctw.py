@@ -492,11 +492,14 @@ def score_documents(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     blobs = _blobs(docs, n_blocks)
     paths: list[str] = []
     held = materialize(_holdings(blobs, depth, min(n_blocks, BUCKETS)), "holdings", paths)
-    merged, left = held, n_blocks
+    merged, left, sums = held, n_blocks, []
     while left > 1 or merged is held:
-        merged, left = materialize(_merged(merged), "merged", paths), math.ceil(left / GROUP)
+        old, sums = sums, []
+        merged, left = materialize(_merged(merged), "merged", sums), math.ceil(left / GROUP)
+        discard(spark, old)
     crown = _crown(merged.filter(F.col("kind") == GRAMS), depth)
     models = materialize(_models(merged, crown, depth), "models", paths)
+    discard(spark, sums)
     total, distinct = _facts(models.filter(F.col("kind") == WORDS))
     back = _returned(held, models)
     scored = materialize(_scored(blobs, back, total, distinct, depth), "scored")
