@@ -17,12 +17,18 @@ broadcast or sent to the driver: a block meets its own part of the model. Grams
 that only held-out texts hold take part with count 0, so their probability comes
 from the same trees.
 
+Grams whose last two context bytes are shared by parts of over SPLIT_BYTES are
+dealt by a third byte, and by a fourth if need be, up to DEPTH, so no task holds
+a hot ending whole.
+
 What is written grows with the text: a block has at most BUCKETS rows of words
-and 65,536 of grams, and on the way back a key's part of the model is copied only
-as often as the blocks' own parts of that key outweigh it.
+and 65,536 of grams before such splits, and on the way back a key's part of the
+model is copied only as often as the blocks' own parts of that key outweigh it.
 
-The trees split at their last two bytes into subtrees that are worked out apart;
-what lies above is a table of at most 256 * 255 rows, which the driver mixes.
+The trees split at these endings into subtrees that are worked out apart. What
+lies above a split ending is mixed in one row for each ending, of 255 decisions
+at most; above two bytes there is a table of at most 256 * 255 rows, which the
+driver mixes.
 
 Defined results: a null or empty text is the end alone; without training texts
 every decision has probability 1/2 and N and V are 0; rows of equal doc_id are
@@ -33,6 +39,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from inspect import signature
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +48,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fold, materialize
+from .common import broadcast_if, discard, fold, give_back, lean, materialize
 
 DEPTH = 6
 BLOCK_BYTES, CHUNK, LEAST_BLOCKS, GROUP, BUCKETS = 12 << 20, 4 << 20, 8, 64, 4096
 #: On the way back a task meets held parts of about so many bytes, or four times the model's part if that is more.
 RETURN_BYTES = 32 << 20
+#: Packed bytes after which a worker gives memory back.
+LARGE_BYTES = 1 << 20
+#: Packed parts of one ending, of all blocks, over which it is dealt by one more byte.
+SPLIT_BYTES = 8 << 20
+#: Rows of the tables by key (a few numbers) and by split ending (up to 30 kB) that are broadcast; beyond, the join shuffles.
+MOST_KEYS, MOST_CHAINS = 200_000, 1000
 END = b"\n"
 HALF = math.log(0.5)
 
@@ -192,15 +205,35 @@ class Crown:
         return self.w0[node] * none + (1 - self.w0[node]) * p
 
 
-def log10_of_grams(trees: Subtrees, crown: Crown, n: int) -> np.ndarray:
-    """log10 of the probability of each gram's last byte after the others."""
+def log10_of_grams(trees: Subtrees, crown: Crown, n: int, chain: list[tuple] = ()) -> np.ndarray:
+    """log10 of the probability of each gram's last byte after the others.
+
+    ``chain`` lists (decisions, n0, n1, own weights) of the endings that the trees' ending was split from, shortest first.
+    """
     p, at = trees.decisions()
     key = trees.levels[trees.top][0][at]
+    node = (key & np.uint64(255)).astype(np.int64)
+    for nodes, n0, n1, w in reversed(chain):
+        row = np.searchsorted(nodes, node)
+        p = w[row] * _estimate((None, n0, n1), row, trees.bit) + (1 - w[row]) * p
     last = (key >> np.uint64(8 * trees.top)).astype(np.int64) & 255
-    p = crown.mix(p, last, (key & np.uint64(255)).astype(np.int64), trees.bit)
+    p = crown.mix(p, last, node, trees.bit)
     return np.log10(p).reshape(8, n).sum(0)
 
 
+def _lean(run):
+    """A function of one or two tables whose worker gives memory back after large ones."""
+
+    def after(out, *tables):
+        if sum(t.nbytes for t in tables) > LARGE_BYTES:
+            give_back()
+        return out
+
+    if len(signature(run).parameters) == 1:
+        return lambda g: after(run(g), g)
+    return lambda left, right: after(run(left, right), left, right)
+
+
 def _blobs(docs: DataFrame, blocks: int) -> DataFrame:
     """Texts of a block and batch in one compressed row: (block, ids, held, blob); streams end in END."""
 
@@ -223,7 +256,7 @@ def _blobs(docs: DataFrame, blocks: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = F.coalesce(fold("doc_id", 5) == 1, F.lit(False))
     block = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.crc32(F.coalesce("text", F.lit("")).cast("binary"))), F.lit(blocks)).cast("int")
-    return docs.select("doc_id", "text", held.alias("held"), block.alias("block")).mapInArrow(run, f"block int, ids array<{kind}>, held array<boolean>, blob binary")
+    return docs.select("doc_id", "text", held.alias("held"), block.alias("block")).mapInArrow(lean(run), f"block int, ids array<{kind}>, held array<boolean>, blob binary")
 
 
 def _streams(table: pa.Table):
@@ -279,12 +312,33 @@ def unpack_words(blob: bytes) -> tuple[list[bytes], np.ndarray]:
 
 
 WORDS, GRAMS = 0, 1
-PARTS = "kind int, key int, block int, blob binary"
+PARTS = "kind int, key long, block int, blob binary"
+#: A key of grams is the number of bytes of their ending, above bit 56, and the ending.
+TOP, LENGTH_BIT = 2, 56
 
 
 def _parts(rows: list[tuple]) -> pa.Table:
     cols = list(zip(*rows)) or [[]] * 4
-    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["kind", "key", "block", "blob"])
+    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["kind", "key", "block", "blob"])
+
+
+def _key(top: int, ending: int) -> int:
+    return top << LENGTH_BIT | ending
+
+
+def _shorter(top: int, key: str = "key"):
+    """The key of the last ``top`` bytes of a key's ending."""
+    return F.lit(_key(top, 0)).bitwiseOR(F.col(key).bitwiseAND(F.lit((1 << 8 * top) - 1)))
+
+
+def _by_ending(code: np.ndarray, n: np.ndarray, top: int):
+    """(key, grams, counts) of each ending of ``top`` context bytes; grams stay ascending."""
+    ending = (code >> np.uint64(8)) & np.uint64((1 << 8 * top) - 1)
+    order = np.argsort(ending, kind="stable")
+    code, n, ending = code[order], n[order], ending[order]
+    cuts = [0, *(np.flatnonzero(np.diff(ending)) + 1).tolist(), len(ending)]
+    for i, j in zip(cuts, cuts[1:]):
+        yield _key(top, int(ending[i])), code[i:j], n[i:j]
 
 
 def _holdings(blobs: DataFrame, depth: int, buckets: int) -> DataFrame:
@@ -322,14 +376,10 @@ def _holdings(blobs: DataFrame, depth: int, buckets: int) -> DataFrame:
         for k, own in by.items():
             own.sort()
             rows.append((WORDS, k, block, pack_words(own, [words[w] for w in own])))
-        tail = (code >> np.uint64(8)) & np.uint64(0xFFFF)
-        order = np.argsort(tail, kind="stable")
-        code, n, tail = code[order], n[order], tail[order]
-        cuts = [0, *(np.flatnonzero(np.diff(tail)) + 1).tolist(), len(tail)]
-        rows += [(GRAMS, int(tail[i]), block, pack_numbers(code[i:j], n[i:j])) for i, j in zip(cuts, cuts[1:])]
+        rows += [(GRAMS, key, block, pack_numbers(c, x)) for key, c, x in _by_ending(code, n, TOP)]
         return _parts(rows)
 
-    return blobs.groupBy("block").applyInArrow(run, PARTS)
+    return blobs.groupBy("block").applyInArrow(_lean(run), PARTS)
 
 
 def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -365,6 +415,36 @@ def _merge_words(blobs) -> tuple[list[bytes], list[int]]:
     return words, [total[w] for w in words]
 
 
+def _sized(parts: DataFrame) -> DataFrame:
+    """Parts with their sizes, which are read without the parts."""
+    return parts.withColumn("size", F.octet_length("blob"))
+
+
+def _split(parts: DataFrame, depth: int, paths: list[str]) -> tuple[DataFrame, int]:
+    """The written parts with each ending of over SPLIT_BYTES dealt by one more byte, and again; and the length of the longest ending."""
+
+    def run(batches, top):
+        for b in batches:
+            for block, blob in zip(b.column(0), b.column(1)):
+                rows = [(GRAMS, key, block.as_py(), pack_numbers(c, n)) for key, c, n in _by_ending(*unpack_numbers(blob.as_py()), top)]
+                yield from _parts(rows).to_batches()
+
+    done, top = [], TOP
+    while top < depth:
+        weight = parts.filter(F.col("key") >= _key(TOP, 0)).groupBy("key").agg(F.sum("size").alias("_s"))
+        hot = materialize(weight.filter(F.col("_s") > SPLIT_BYTES).select("key"), "hot", paths)
+        n = hot.count()
+        if not n:
+            break
+        hot, top = broadcast_if(hot, n, MOST_KEYS), top + 1
+        done.append(parts.join(hot, "key", "left_anti").select(*parts.columns))
+        longer = parts.join(hot, "key", "left_semi").select("block", "blob").mapInArrow(lambda batches, top=top: run(batches, top), PARTS)
+        parts = materialize(_sized(longer), "split", paths)
+    for d in done:
+        parts = parts.unionByName(d)
+    return parts, top
+
+
 def _merged(parts: DataFrame) -> DataFrame:
     """Sums over GROUP blocks at a time, so that no task holds a key's parts of all blocks; GROUP sums count as a block of the next round."""
 
@@ -373,24 +453,57 @@ def _merged(parts: DataFrame) -> DataFrame:
         blob = pack_words(*_merge_words(g["blob"])) if kind == WORDS else pack_numbers(*_merge_numbers(g["blob"]))
         return _parts([(kind, key, g["group"][0].as_py(), blob)])
 
-    return parts.withColumn("group", F.floor(F.col("block") / GROUP).cast("int")).groupBy("kind", "key", "group").applyInArrow(run, PARTS)
+    return parts.withColumn("group", F.floor(F.col("block") / GROUP).cast("int")).groupBy("kind", "key", "group").applyInArrow(_lean(run), PARTS)
 
 
-def _crown(grams: DataFrame, depth: int) -> Crown:
-    """The upper levels: at most 256 * 255 sums come to the driver."""
+def _roots(grams: DataFrame, depth: int) -> DataFrame:
+    """(key, node, n0, n1, logp): for each ending and decision the counts and the log of the weighted probability."""
 
     def run(g: pa.Table) -> pa.Table:
-        key, n0, n1, logp = Subtrees(*_merge_numbers(g["blob"]), depth).roots()
-        last = (key >> np.uint64(16)).astype(np.int64) & 255
-        return pa.table({"last": pa.array(last, pa.int32()), "node": pa.array((key & np.uint64(255)).astype(np.int32)), "n0": pa.array(n0), "n1": pa.array(n1), "logp": pa.array(logp)})
+        own = g["key"][0].as_py()
+        key, n0, n1, logp = Subtrees(*_merge_numbers(g["blob"]), depth, own >> LENGTH_BIT).roots()
+        return pa.table({"key": pa.array(np.full(len(key), own)), "node": pa.array((key & np.uint64(255)).astype(np.int32)), "n0": pa.array(n0), "n1": pa.array(n1), "logp": pa.array(logp)})
+
+    return grams.groupBy("key").applyInArrow(_lean(run), "key long, node int, n0 double, n1 double, logp double")
 
-    rows = grams.groupBy("key").applyInArrow(run, "last int, node int, n0 double, n1 double, logp double")
-    rows = rows.groupBy("last", "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("logp").alias("logp")).toPandas()
-    return Crown(*(rows[c].to_numpy(t) for c, t in (("last", np.int64), ("node", np.int64), ("n0", float), ("n1", float), ("logp", float))))
 
+def _upper(roots: DataFrame, longest: int, paths: list[str]) -> tuple[Crown, DataFrame | None]:
+    """What lies above the subtrees: the upper levels and, if endings were split, (key, chain) of those (see ``log10_of_grams``).
 
-def _models(merged: DataFrame, crown: Crown, depth: int) -> DataFrame:
-    """(kind, key, blob): the words of a bucket with their counts, the grams of a tail with their log10 probabilities."""
+    A split ending's counts and longer contexts are the sums over the endings it was split into, the longest first. At most
+    256 * 255 sums come to the driver.
+    """
+    sums = [F.sum(c).alias(c) for c in ("n0", "n1", "logp")]
+
+    def run(g: pa.Table) -> pa.Table:
+        g = g.sort_by("node")
+        n0, n1, longer = (g[c].to_numpy() for c in ("n0", "n1", "logp"))
+        own = kt_block(n0, n1)
+        mixed = np.logaddexp(HALF + own, HALF + longer)
+        return g.set_column(g.schema.get_field_index("logp"), "logp", pa.array(mixed)).append_column("w", pa.array(np.exp(HALF + own - mixed)))
+
+    level = lambda top: roots.filter(F.shiftright("key", LENGTH_BIT) == top)
+    rows, mixed = level(longest), {}
+    for top in range(longest - 1, TOP - 1, -1):
+        summed = rows.select(_shorter(top).alias("key"), "node", "n0", "n1", "logp").groupBy("key", "node").agg(*sums)
+        mixed[top] = materialize(summed.groupBy("key").applyInArrow(run, "key long, node int, n0 double, n1 double, logp double, w double"), "mixed", paths)
+        rows = level(top).unionByName(mixed[top].drop("w"))
+    chains = longer = None
+    for top in sorted(mixed):
+        own = mixed[top].groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "n0", "n1", "w"))).alias("own"))
+        if longer is None:
+            longer = own.select("key", F.array("own").alias("chain"))
+        else:
+            up = longer.select(F.col("key").alias("_up"), "chain")
+            longer = own.withColumn("_up", _shorter(top - 1)).join(up, "_up").select("key", F.concat("chain", F.array("own")).alias("chain"))
+        longer = materialize(longer, "chains", paths)
+        chains = longer if chains is None else chains.unionByName(longer)
+    table = rows.groupBy(F.col("key").bitwiseAND(F.lit(255)).alias("last"), "node").agg(*sums).toPandas()
+    return Crown(*(table[c].to_numpy(t) for c, t in (("last", np.int64), ("node", np.int64), ("n0", float), ("n1", float), ("logp", float)))), chains
+
+
+def _models(merged: DataFrame, crown: Crown, chains: DataFrame | None, longest: int, depth: int) -> DataFrame:
+    """(kind, key, blob): the words of a bucket with their counts, the grams of an ending with their log10 probabilities."""
     shared = merged.sparkSession.sparkContext.broadcast(crown)
 
     def run(g: pa.Table) -> pa.Table:
@@ -398,12 +511,18 @@ def _models(merged: DataFrame, crown: Crown, depth: int) -> DataFrame:
         if kind == WORDS:
             return _parts([(kind, key, 0, pack_words(*_merge_words(g["blob"])))])
         codes, n = _merge_numbers(g["blob"])
-        return _parts([(kind, key, 0, pack_numbers(codes, log10_of_grams(Subtrees(codes, n, depth), shared.value, len(codes))))])
+        chain = (g["chain"][0].values or []) if "chain" in g.column_names else []
+        above = [tuple(np.asarray(x) for x in own.values.flatten()) for own in chain]
+        return _parts([(kind, key, 0, pack_numbers(codes, log10_of_grams(Subtrees(codes, n, depth, key >> LENGTH_BIT), shared.value, len(codes), above)))])
 
-    return merged.groupBy("kind", "key").applyInArrow(run, PARTS)
+    if chains is not None:
+        up = F.coalesce(*[F.when(F.shiftright("key", LENGTH_BIT) == top + 1, _shorter(top)) for top in range(TOP, longest)])
+        chains = chains.withColumnRenamed("key", "_up")
+        merged = merged.withColumn("_up", up).join(broadcast_if(chains, chains.count(), MOST_CHAINS), "_up", "left")
+    return merged.groupBy("kind", "key").applyInArrow(_lean(run), PARTS)
 
 
-def _returned(parts: DataFrame, models: DataFrame) -> DataFrame:
+def _returned(parts: DataFrame, models: DataFrame, paths: list[str]) -> DataFrame:
     """The model's part for each block: what the block holds of each key, with the model's values."""
 
     def run(held: pa.Table, table: pa.Table) -> pa.Table:
@@ -419,14 +538,15 @@ def _returned(parts: DataFrame, models: DataFrame) -> DataFrame:
         own = ((b, unpack_numbers(x.as_py())[0]) for b, x in zip(held["block"], held["blob"]))
         return _parts([(kind, key, b.as_py(), pack_numbers(c, values[np.searchsorted(codes, c)])) for b, c in own])
 
-    # One row a key, of which there are at most 65,536 + BUCKETS.
-    bytes_of = lambda t, name: t.groupBy("kind", "key").agg(F.sum(F.octet_length("blob")).alias(name))
+    bytes_of = lambda t, name: t.groupBy("kind", "key").agg(F.sum("size").alias(name))
     shares = bytes_of(parts, "_held").join(bytes_of(models, "_own"), ["kind", "key"])
     shares = shares.select("kind", "key", F.ceil(F.col("_held") / F.greatest(F.lit(RETURN_BYTES), 4 * F.col("_own"))).cast("int").alias("_n"))
-    left = parts.join(F.broadcast(shares), ["kind", "key"]).select("kind", "key", "block", "blob", F.pmod(F.xxhash64("block"), F.col("_n")).cast("int").alias("group"))
-    right = models.join(F.broadcast(shares), ["kind", "key"]).select("kind", "key", "blob", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("group"))
+    shares = materialize(shares, "shares", paths)
+    shares = broadcast_if(shares, shares.count(), MOST_KEYS)
+    left = parts.join(shares, ["kind", "key"]).select("kind", "key", "block", "blob", F.pmod(F.xxhash64("block"), F.col("_n")).cast("int").alias("group"))
+    right = models.join(shares, ["kind", "key"]).select("kind", "key", "blob", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("group"))
     anew = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns]).groupBy("kind", "key", "group")
-    return anew(left).cogroup(anew(right)).applyInArrow(run, PARTS)
+    return anew(left).cogroup(anew(right)).applyInArrow(_lean(run), PARTS)
 
 
 def _scored(blobs: DataFrame, model: DataFrame, total: int, distinct: int, depth: int) -> DataFrame:
@@ -469,7 +589,7 @@ def _scored(blobs: DataFrame, model: DataFrame, total: int, distinct: int, depth
 
     kind = blobs.schema["ids"].dataType.elementType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
-    return blobs.groupBy("block").cogroup(model.groupBy("block")).applyInArrow(run, schema)
+    return blobs.groupBy("block").cogroup(model.groupBy("block")).applyInArrow(_lean(run), schema)
 
 
 def _facts(words: DataFrame) -> tuple[int, int]:
@@ -491,17 +611,19 @@ def score_documents(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     n_blocks = max(LEAST_BLOCKS, math.ceil(size / BLOCK_BYTES))
     blobs = _blobs(docs, n_blocks)
     paths: list[str] = []
-    held = materialize(_holdings(blobs, depth, min(n_blocks, BUCKETS)), "holdings", paths)
+    held = materialize(_sized(_holdings(blobs, depth, min(n_blocks, BUCKETS))), "holdings", paths)
+    held, longest = _split(held, depth, paths)
     merged, left, sums = held, n_blocks, []
     while left > 1 or merged is held:
         old, sums = sums, []
         merged, left = materialize(_merged(merged), "merged", sums), math.ceil(left / GROUP)
         discard(spark, old)
-    crown = _crown(merged.filter(F.col("kind") == GRAMS), depth)
-    models = materialize(_models(merged, crown, depth), "models", paths)
+    roots = materialize(_roots(merged.filter(F.col("kind") == GRAMS), depth), "roots", sums)
+    crown, chains = _upper(roots, longest, sums)
+    models = materialize(_sized(_models(merged, crown, chains, longest, depth)), "models", paths)
     discard(spark, sums)
     total, distinct = _facts(models.filter(F.col("kind") == WORDS))
-    back = _returned(held, models)
+    back = _returned(held, models, paths)
     scored = materialize(_scored(blobs, back, total, distinct, depth), "scored")
     discard(spark, paths)
     return scored.select(

@@ -565,13 +565,17 @@ def test_gram_codes():
         assert ctw.gram_codes(streams, depth).tolist() == want
 
 
-def test_lm_scores(docs, rows, monkeypatch):
+@pytest.mark.parametrize("depth,most,keys", [(3, 8 << 20, 10**6), (3, 0, 10**6), (5, 60, 0), (5, 600, 10**6)])
+def test_lm_scores(docs, rows, monkeypatch, depth, most, keys):
+    monkeypatch.setattr(ctw, "SPLIT_BYTES", most)  # none, all or the heaviest endings are split, again and again
+    monkeypatch.setattr(ctw, "MOST_KEYS", keys)
+    monkeypatch.setattr(ctw, "MOST_CHAINS", keys)
     monkeypatch.setattr(ctw, "GROUP", 2)  # three rounds of sums
     monkeypatch.setattr(ctw, "RETURN_BYTES", 300)
     small = [r for r in rows if len(r[1] or "") < 400]
     ids = [r[0] for r in small]
     df = docs.filter(F.length(F.coalesce("text", F.lit(""))) < 400)
-    got = ctw.score_documents(df, depth=3).collect()
+    got = ctw.score_documents(df, depth=depth).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     streams = [(i, ctw.stream(t)) for i, t, *_ in small]
     train = [s for i, s in streams if not held(i)]
@@ -581,7 +585,7 @@ def test_lm_scores(docs, rows, monkeypatch):
     for i, s in streams:
         w = [*s.split(), b"\n"]
         base = sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
-        want[i].append((held(i), len(w), sum(c[x] > 0 for x in w), n, base, brute_ctw(train, s, 3)))
+        want[i].append((held(i), len(w), sum(c[x] > 0 for x in w), n, base, brute_ctw(train, s, depth)))
     assert Counter(r["doc_id"] for r in got) == Counter(ids)
     for r in got:
         found = (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"])
