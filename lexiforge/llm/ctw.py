@@ -39,6 +39,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import lru_cache
 from inspect import signature
 
 import numpy as np
@@ -104,26 +105,26 @@ def _same_stream(b: np.ndarray, at: np.ndarray, depth: int, k: int) -> np.ndarra
 
 def kt_block(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Natural log of the Krichevsky-Trofimov probability of n0 zeros and n1 ones."""
-    table = _log_gamma_half
-    total = n0 + n1
-    return table(n0) + table(n1) - _log_factorial(total) - math.log(math.pi)
+    return _log_gamma(0.5, n0) + _log_gamma(0.5, n1) - _log_gamma(1.0, n0 + n1) - math.log(math.pi)
 
 
 _lgamma = np.frompyfunc(math.lgamma, 1, 1)
 
 
-def _small(f, n: np.ndarray) -> np.ndarray:
-    """f of whole numbers, worked out once for each value."""
-    values, at = np.unique(n, return_inverse=True)
-    return f(values).astype(np.float64)[at]
+@lru_cache
+def _gammas(more: float) -> np.ndarray:
+    return _lgamma(np.arange(1 << 14) + more).astype(np.float64)
 
 
-def _log_gamma_half(n: np.ndarray) -> np.ndarray:
-    return _small(lambda v: _lgamma(v + 0.5), n)
-
-
-def _log_factorial(n: np.ndarray) -> np.ndarray:
-    return _small(lambda v: _lgamma(v + 1.0), n)
+def _log_gamma(more: float, n: np.ndarray) -> np.ndarray:
+    """Log gamma of n + more for whole n: from a table, of larger ones once for each value."""
+    n, table = n.astype(np.int64), _gammas(more)
+    out = table[np.minimum(n, len(table) - 1)]
+    large = np.flatnonzero(n >= len(table))
+    if len(large):
+        values, at = np.unique(n[large], return_inverse=True)
+        out[large] = _lgamma(values + more).astype(np.float64)[at]
+    return out
 
 
 class Subtrees:
