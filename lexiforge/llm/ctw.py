@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 from .common import broadcast_if, discard, fold, give_back, lean, materialize
 
 DEPTH = 6
-BLOCK_BYTES, CHUNK, LEAST_BLOCKS, GROUP, BUCKETS = 12 << 20, 4 << 20, 8, 64, 4096
+BLOCK_BYTES, CHUNK, LEAST_BLOCKS, GROUP, BUCKETS = 20 << 20, 4 << 20, 8, 64, 4096
 #: On the way back a task meets held parts of about so many bytes, or four times the model's part if that is more.
 RETURN_BYTES = 32 << 20
 #: Packed bytes after which a worker gives memory back.
